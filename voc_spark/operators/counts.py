@@ -127,6 +127,6 @@ def feedback_cube(view: DataFrame) -> DataFrame:
     """
     date = F.col("review_date")
     return (
-        view.withColumns({"review_day": date.cast("date"), "at_midnight": is_midnight(date)})
+        view.withColumns({"review_day": date.cast("date"), "at_midnight": F.coalesce(is_midnight(date), F.lit(False))})
         .groupBy(*tx.GROUP_COLUMNS, "review_day", "at_midnight").agg(rows_in(view).alias("n"))
     )

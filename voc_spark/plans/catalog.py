@@ -275,7 +275,7 @@ def schema_profile(spark, d):
 
 
 def feedback_cube(spark, d):
-    return counts.feedback_cube(_view(spark, d))
+    return counts.feedback_cube(_view(spark, d)).withColumn("review_day", F.col("review_day").cast("string"))
 
 
 # --- specs -----------------------------------------------------------------
@@ -361,7 +361,7 @@ def window_narrative(spark, d):
 
 def window_summary_job(spark, d):
     done = summaries.window_summaries(demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d))
-    return done.drop("stats", "narrative")
+    return done.drop("stats", "narrative").withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0)))
 
 
 def stats_json(spark, d):
