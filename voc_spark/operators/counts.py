@@ -1,6 +1,6 @@
 """Counts of joined rows: one number, breakdowns, marginals, themes, the stored cube.
 
-Input is any frame with the group columns. A column `n` (counting view, cube) holds the
+Input is any frame with the group columns. A column `n`, as in the stored cube, holds the
 joined rows that a row stands for; without it each row counts once.
 """
 

@@ -14,6 +14,7 @@ REVIEW_COLUMNS = [
     "verified_purchase",
 ]
 COUNT_COLUMNS = ["product_category", "quarter", "verified_purchase", "review_date"]
+COUNT_KEYS = ["review_id", *COUNT_COLUMNS]
 
 
 def latest_classification(classifications: DataFrame) -> DataFrame:
@@ -35,10 +36,11 @@ def feedback_view(reviews: DataFrame, classifications: DataFrame, dedupe: str |
     """All reviews with their classifications, if any; a reclassified review gives several rows.
 
     An outer join cannot split a hot key of its optional side, an inner join can. So the
-    matched part is an inner join and the rest an anti join on distinct ids.
+    matched part is an inner join and the rest an anti join on distinct ids; both read
+    one shuffle of the reviews.
     dedupe="latest" keeps the newest classification only, where a plain left join is safe.
     """
-    left = reviews.select(*REVIEW_COLUMNS)
+    left = reviews.select(*[c for c in REVIEW_COLUMNS if c in reviews.columns]).where("review_id IS NOT NULL")
     if dedupe == "latest":
         return left.join(latest_classification(classifications), "review_id", "left")
     matched = left.join(classifications.select("review_id", *CLASS_COLUMNS), "review_id")
@@ -47,22 +49,12 @@ def feedback_view(reviews: DataFrame, classifications: DataFrame, dedupe: str |
     return matched.unionByName(pending.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in CLASS_COLUMNS]))
 
 
-def label_counts(classifications: DataFrame) -> DataFrame:
-    """Rows per review and label combination: however often a review was classified, few rows remain."""
-    return (
-        classifications.where(F.col("review_id").isNotNull()).groupBy("review_id", *LABELS)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def counting_view(reviews: DataFrame, classifications: DataFrame, dedupe: str | None = None) -> DataFrame:
-    """The joined rows in counted form: group columns, review_date and `n`, the joined rows each row stands for."""
-    if dedupe == "latest":
-        labels = latest_classification(classifications).select("review_id", *LABELS, F.lit(1).cast("bigint").alias("n"))
-    else:
-        labels = label_counts(classifications)
-    joined = reviews.select("review_id", *COUNT_COLUMNS).join(labels, "review_id", "left")
-    return joined.select(*COUNT_COLUMNS, *LABELS, F.coalesce("n", F.lit(1)).alias("n"))
+    """The columns of the joined rows that counts need; texts stay out of the shuffle.
+
+    A filter on a label empties the part without classifications, and Catalyst then drops its join.
+    """
+    return feedback_view(reviews.select(*COUNT_KEYS), classifications, dedupe).select(*COUNT_COLUMNS, *LABELS)
 
 
 def latest_reviews(reviews: DataFrame, classifications: DataFrame, limit: int = 1500) -> DataFrame:

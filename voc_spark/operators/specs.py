@@ -3,12 +3,13 @@
 from collections.abc import Sequence
 from itertools import chain, combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voc_spark import taxonomy as tx
 from voc_spark.functions.times import is_midnight, ntz
 from voc_spark.operators.counts import rows_in
 from voc_spark.operators.profile import coverage
+from voc_spark.sources.parquet import stored
 
 SPEC_FILTERS = [*tx.FILTER_DIMENSIONS, "verified_purchase"]
 
@@ -116,41 +117,48 @@ def count_specs(view: DataFrame, specs: DataFrame) -> DataFrame:
 
     The view is counted per combination of the filter columns, and that small result per
     subset of them (grouping sets). An absent filter then is part of the join key: the pattern of
-    absent filters and the given values. Dated specs meet daily counts, day by day.
+    absent filters and the given values. A dated spec is the difference of two running sums
+    over daily counts, so the length of its range costs nothing.
     """
-    keys = [f"k{i}" for i in range(len(SPEC_FILTERS))]
+    keys = ["pattern", *[f"k{i}" for i in range(len(SPEC_FILTERS))]]
     signed = specs.select(
         "spec_id", _pattern(SPEC_FILTERS).alias("pattern"), *_keys(SPEC_FILTERS),
         F.nullif("date_start", F.lit("")).cast("date").alias("s"), F.nullif("date_end", F.lit("")).cast("date").alias("e"),
     )
-    dated = F.col("s").isNotNull() & F.col("e").isNotNull()
-
+    is_dated = F.col("s").isNotNull() & F.col("e").isNotNull()
     daily = view.withColumns(
         {"day": F.col("review_date").cast("date"), "at_midnight": is_midnight(F.col("review_date"))}
     ).groupBy(*SPEC_FILTERS, "day", "at_midnight").agg(rows_in(view).alias("c"))
+    daily = stored(daily, "daily")
 
     whole = daily.groupBy(*SPEC_FILTERS).agg(F.sum("c").alias("c")).cube(*SPEC_FILTERS).agg(
         F.grouping_id().alias("pattern"), F.sum("c").alias("count")
     ).select("pattern", *_keys(SPEC_FILTERS), "count")
-    undated = signed.where(~dated).join(whole, ["pattern", *keys], "left").select(
-        "spec_id", F.coalesce("count", F.lit(0)).alias("count")
-    )
+    undated = signed.where(~is_dated).join(whole, keys, "left").select("spec_id", F.coalesce("count", F.lit(0)).alias("count"))
 
+    # Order of events within a day: start edge, midnight rows, end edge, later rows.
     subsets = chain.from_iterable(combinations(SPEC_FILTERS, r) for r in range(len(SPEC_FILTERS) + 1))
     by_day = daily.where("day IS NOT NULL").groupingSets(
         [[*sub, "day", "at_midnight"] for sub in subsets], *SPEC_FILTERS, "day", "at_midnight"
     ).agg(F.grouping_id().alias("gid"), F.sum("c").alias("c")).select(
-        F.shiftright("gid", 2).alias("pattern"), *_keys(SPEC_FILTERS), "day", "at_midnight", "c"
+        F.shiftright("gid", 2).alias("pattern"), *_keys(SPEC_FILTERS), "day",
+        F.when(F.col("at_midnight"), 1).otherwise(3).alias("step"), "c",
+    )
+    dated = signed.where(is_dated & (F.col("s") <= F.col("e"))).select(
+        "spec_id", *keys, F.inline(F.array(
+            F.struct(F.col("s").alias("day"), F.lit(0).alias("step")), F.struct(F.col("e").alias("day"), F.lit(2).alias("step"))
+        ))
+    )
+    # Distinct edges: a series holds at most two per calendar day, however many specs ask for it.
+    edges = stored(dated.select(*keys, "day", "step").distinct(), "edges")
+    wanted = by_day.join(edges.select(*keys).distinct(), keys, "left_semi")
+    series = Window.partitionBy(*keys).orderBy("day", "step").rowsBetween(Window.unboundedPreceding, 0)
+    running = (
+        wanted.unionByName(edges.withColumn("c", F.lit(0).cast("bigint")))
+        .withColumn("upto", F.sum("c").over(series)).where("step IN (0, 2)").drop("c")
     )
-    # Clip to the covered days, so a range of any length costs no more than the data spans.
-    span = view.agg(F.struct(F.min("review_date").cast("date").alias("lo"), F.max("review_date").cast("date").alias("hi")).alias("c")).scalar()
-    asked = signed.where(dated).drop("spec_id").distinct().withColumn("span", span)
-    lo, hi = F.greatest("s", F.col("span.lo")), F.least("e", F.col("span.hi"))
-    days = asked.where(lo <= hi).select("pattern", *keys, "s", "e", F.explode(F.sequence(lo, hi)).alias("day"))
-    per_range = days.join(by_day, ["pattern", *keys, "day"]).where("day < e OR at_midnight").groupBy(
-        "pattern", *keys, "s", "e"
-    ).agg(F.sum("c").alias("count"))
-    ranged = signed.where(dated).join(per_range, ["pattern", *keys, "s", "e"], "left").select(
-        "spec_id", F.coalesce("count", F.lit(0)).alias("count")
+    ranged = dated.join(running, [*keys, "day", "step"]).groupBy("spec_id").agg(
+        F.sum(F.when(F.col("step") == 2, F.col("upto")).otherwise(-F.col("upto"))).alias("count")
     )
-    return undated.unionByName(ranged)
+    reversed_dates = signed.where(is_dated & (F.col("s") > F.col("e"))).select("spec_id", F.lit(0).cast("bigint").alias("count"))
+    return undated.unionByName(ranged).unionByName(reversed_dates)

@@ -74,49 +74,76 @@ def running_marginals(daily: DataFrame) -> DataFrame:
     )
 
 
-def window_counts(view: DataFrame, windows: DataFrame, end_of_day: bool = False) -> DataFrame:
-    """(window_label, dimension, value, count) of every window; windows without rows give none.
+def daily_series(daily: DataFrame) -> DataFrame:
+    """One row per calendar day: the running totals of all values, in the same order every day.
 
-    The joined rows are reduced once to daily counts, stored, and turned into running totals, so
-    each window is the difference of two days: an equi-join on the day, two rows per window.
+    An entry per distinct label and product category, however many rows the facts have.
+    """
+    entry = F.struct("dimension", "value", "before", "upto_midnight")
+    total = lambda c: F.max(F.when(F.col("dimension") == "total", F.col(c))).alias(f"total_{c}")
+    return running_marginals(daily).groupBy("day").agg(
+        total("before"), total("upto_midnight"), F.array_sort(F.collect_list(entry)).alias("series")
+    )
+
+
+def window_profiles(view: DataFrame, windows: DataFrame, end_of_day: bool = False) -> DataFrame:
+    """Adds to every window `total_reviews` and `counts`, an array of (dimension, value, count).
+
+    A window without rows has 0 and null. The joined rows are reduced once to daily counts,
+    stored, and turned into running totals, so a window is the difference between two days: two
+    equi-joins with a calendar, whatever its length.
     """
     daily = stored(daily_marginals(view), "daily")
-    span = daily.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi")).alias("c")).scalar()
-    asked = windows.select(
-        "window_label", F.col("date_start").cast("date").alias("s"), F.col("date_end").cast("date").alias("e")
-    ).withColumn("c", span)
-    lo, hi = F.col("c.lo"), F.col("c.hi")
-    past = F.date_add(hi, 1)
-    end = F.least(F.date_add("e", 1), past) if end_of_day else F.least(F.col("e"), past)
-    edges = asked.where((F.col("s") <= F.col("e")) & (F.col("e") >= lo) & (F.col("s") <= hi)).select(
-        "window_label", F.inline(F.array(
-            F.struct(F.greatest(F.col("s"), lo).alias("day"), F.lit(False).alias("is_end")),
-            F.struct(end.alias("day"), F.lit(True).alias("is_end")),
-        ))
+    days = stored(daily_series(daily), "series")
+    span = days.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("past")).alias("c")).scalar()
+    s, e = F.col("date_start").cast("date"), F.col("date_end").cast("date")
+    lo, past = F.col("c.lo"), F.col("c.past")
+    live = (s <= e) & (e >= lo) & (s < past)
+    asked = windows.withColumn("c", span).withColumns({
+        "_from": F.when(live, F.greatest(s, lo)),
+        "_to": F.when(live, F.least(F.date_add(e, 1) if end_of_day else e, past)),
+    })
+    upto = "before" if end_of_day else "upto_midnight"
+    first = days.select(F.col("day").alias("_from"), F.col("series").alias("_first"), F.col("total_before").alias("_earlier"))
+    last = days.select(F.col("day").alias("_to"), F.col("series").alias("_last"), F.col(f"total_{upto}").alias("_upto"))
+    counts = F.filter(
+        F.zip_with("_last", "_first", lambda b, a: F.struct(b["dimension"], b["value"], (b[upto] - a["before"]).alias("count"))),
+        lambda x: x["count"] > 0,
     )
-    upto = F.col("before") if end_of_day else F.col("upto_midnight")
-    return (
-        edges.join(running_marginals(daily), "day").groupBy("window_label", "dimension", "value")
-        .agg(F.sum(F.when(F.col("is_end"), upto).otherwise(-F.col("before"))).alias("count"))
-        .where("count > 0")
+    total = F.coalesce(F.col("_upto") - F.col("_earlier"), F.lit(0))
+    return asked.join(first, "_from", "left").join(last, "_to", "left").select(
+        *windows.columns, total.alias("total_reviews"), F.when(total > 0, counts).alias("counts")
     )
 
 
-def stats_json(counts: DataFrame) -> DataFrame:
-    """(window_label, total_reviews, stats): the counts of a window as one JSON object.
+def window_counts(view: DataFrame, windows: DataFrame, end_of_day: bool = False) -> DataFrame:
+    """(window_label, dimension, value, count) of every window; windows without rows give none."""
+    profiles = window_profiles(view, windows, end_of_day).where("total_reviews > 0")
+    return profiles.select("window_label", F.inline("counts"))
 
-    An object holds one entry per distinct label or product category.
-    """
-    def pairs(dimension: str) -> Column:
-        entry = F.when(F.col("dimension") == dimension, F.struct("value", "count"))
-        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
-
-    maps = {key: pairs(d) for d, key in STAT_KEYS.items()}
-    total = F.max(F.when(F.col("dimension") == "total", F.col("count")))
-    return counts.groupBy("window_label").agg(total.alias("total_reviews"), *[m.alias(k) for k, m in maps.items()]).select(
-        "window_label", "total_reviews",
-        F.to_json(F.struct(F.col("total_reviews").alias("total_count"), *maps)).alias("stats"),
+
+def _ranked(dimension: str, values: list[str] | None = None) -> Column:
+    """The (count, value) entries of a dimension, most frequent first, then by value."""
+    keep = lambda x: (x["dimension"] == dimension) & (x["value"].isin(values) if values else F.lit(True))
+    entries = F.transform(
+        F.filter("counts", keep), lambda x: F.struct((-x["count"]).alias("minus"), x["value"].alias("value"))
     )
+    return F.transform(F.array_sort(entries), lambda x: F.struct(x["value"].alias("value"), (-x["minus"]).alias("count")))
+
+
+def _count_of(dimension: str, value: str) -> Column:
+    hit = F.filter("counts", lambda x: (x["dimension"] == dimension) & (x["value"] == value))
+    return F.coalesce(F.get(hit, F.lit(0))["count"], F.lit(0))
+
+
+def stats_json() -> Column:
+    """The counts of a profile as one JSON object, null without rows."""
+    def pairs(dimension: str) -> Column:
+        entries = F.filter("counts", lambda x: x["dimension"] == dimension)
+        return F.map_from_entries(F.transform(entries, lambda x: F.struct(x["value"], x["count"])))
+
+    fields = [F.col("total_reviews").alias("total_count"), *[pairs(d).alias(key) for d, key in STAT_KEYS.items()]]
+    return F.when(F.col("total_reviews") > 0, F.to_json(F.struct(*fields)))
 
 
 def parse_stats(summaries: DataFrame) -> DataFrame:
@@ -135,58 +162,41 @@ def parse_stats(summaries: DataFrame) -> DataFrame:
     return parsed.select("window_label", F.inline(F.concat(total, *as_rows)))
 
 
-def narrative_facts(counts: DataFrame) -> DataFrame:
-    """One row per window with the figures that the narrative quotes."""
-    rank = F.row_number().over(Window.partitionBy("window_label", "dimension").orderBy(F.desc("count"), "value"))
-    ranked = counts.withColumn("rank", rank)
-    is_complaint = (F.col("dimension") == "feedback_category") & F.col("value").isin(tx.COMPLAINTS)
-
-    def pick(column: str, dimension: str, nth: int | None = None, value: str | None = None) -> Column:
-        keep = F.col("dimension") == dimension
-        keep = keep & (F.col("rank") == nth) if nth else keep
-        return F.max(F.when(keep & (F.col("value") == value) if value else keep, F.col(column)))
-
-    return ranked.groupBy("window_label").agg(
-        pick("count", "total").alias("total"),
-        *[pick(c, "feedback_category", i).alias(f"{a}{i}") for i in (1, 2, 3) for c, a in (("value", "theme"), ("count", "n"))],
-        pick("value", COMPLAINT_DIMENSION, 1).alias("worst"),
-        pick("count", COMPLAINT_DIMENSION, 1).alias("worst_n"),
-        F.coalesce(F.sum(F.when(F.col("dimension") == COMPLAINT_DIMENSION, F.col("count"))), F.lit(0)).alias("complaints"),
-        F.coalesce(pick("count", "sentiment", value="Negative"), F.lit(0)).alias("negative"),
-        F.coalesce(pick("count", "urgency", value="High"), F.lit(0)).alias("high"),
-        F.min(F.when(is_complaint, F.struct(-F.col("count"), "value")))["value"].alias("driver"),
-    )
-
+def with_narrative(profiles: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """Adds `narrative` to every profile with rows: a few sentences over its counts.
 
-def narrative_text() -> Column:
-    """Four to five sentences over the columns of `narrative_facts`."""
-    theme = lambda i: F.concat(F.col(f"theme{i}"), F.lit(" ("), F.col(f"n{i}"), F.lit(")"))
-    themes = F.concat_ws(", ", theme(1), theme(2), theme(3))
-    return F.concat_ws(
+    `written` may bring model texts per window_label; a missing one gives the stock sentence.
+    """
+    has_rows = F.col("total_reviews") > 0
+    if written is not None:
+        texts = written.select("window_label", F.col("narrative").alias("_text"))
+        return profiles.join(texts, "window_label", "left").withColumn(
+            "narrative", F.when(has_rows, F.coalesce("_text", F.lit(tx.SUMMARY_UNAVAILABLE)))
+        ).drop("_text")
+    facts = profiles.withColumns({
+        "_themes": F.slice(_ranked("feedback_category"), 1, 3),
+        "_worst": _ranked(COMPLAINT_DIMENSION),
+        "_driver": F.get(_ranked("feedback_category", tx.COMPLAINTS), F.lit(0))["value"],
+        "_negative": _count_of("sentiment", "Negative"),
+        "_high": _count_of("urgency", "High"),
+    })
+    themes = F.array_join(
+        F.transform("_themes", lambda x: F.concat(x["value"], F.lit(" ("), x["count"].cast("string"), F.lit(")"))), ", "
+    )
+    worst = F.get("_worst", F.lit(0))
+    complaints = F.aggregate("_worst", F.lit(0).cast("bigint"), lambda acc, x: acc + x["count"])
+    sentences = F.concat_ws(
         " ",
-        F.concat(F.col("total"), F.lit(" reviews in "), "window_label", F.lit(".")),
+        F.concat("total_reviews", F.lit(" reviews in "), "window_label", F.lit(".")),
         F.when(themes != "", F.concat(F.lit("Main themes: "), themes, F.lit("."))),
-        F.when(
-            F.col("worst").isNotNull(),
-            F.concat(F.col("worst"), F.lit(" draws the most complaints, "), "worst_n", F.lit(" of "), "complaints", F.lit(".")),
-        ),
+        F.concat(worst["value"], F.lit(" draws the most complaints, "), worst["count"], F.lit(" of "), complaints, F.lit(".")),
         F.concat(
-            F.col("negative"), F.lit(" are negative ("),
-            F.floor(F.col("negative") * 100 / F.col("total")).cast("bigint"), F.lit("%) and "), "high",
-            F.lit(" are of high urgency."),
+            "_negative", F.lit(" are negative ("), F.floor(F.col("_negative") * 100 / F.col("total_reviews")).cast("bigint"),
+            F.lit("%) and "), "_high", F.lit(" are of high urgency."),
+        ),
+        F.coalesce(
+            F.concat(F.lit("Start with "), "_driver", F.lit(" in "), worst["value"], F.lit(".")),
+            F.lit("No complaint stands out."),
         ),
-        F.when(
-            F.col("driver").isNotNull(),
-            F.concat(F.lit("Start with "), "driver", F.lit(" in "), "worst", F.lit(".")),
-        ).otherwise(F.lit("No complaint stands out.")),
-    )
-
-
-def window_narrative(counts: DataFrame, written: DataFrame | None = None) -> DataFrame:
-    """(window_label, narrative). `written` may bring model texts; a missing one gives the stock sentence."""
-    if written is None:
-        return narrative_facts(counts).select("window_label", narrative_text().alias("narrative"))
-    labels = counts.select("window_label").distinct()
-    return labels.join(written.select("window_label", "narrative"), "window_label", "left").select(
-        "window_label", F.coalesce("narrative", F.lit(tx.SUMMARY_UNAVAILABLE)).alias("narrative")
     )
+    return facts.withColumn("narrative", F.when(has_rows, sentences)).select(*profiles.columns, "narrative")

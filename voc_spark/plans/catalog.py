@@ -356,16 +356,18 @@ def reprocess_queue(spark, d):
 
 
 def window_narrative(spark, d):
-    return windows.window_narrative(windows.window_counts(_view(spark, d), _all_windows(spark, d)))
+    profiles = windows.window_profiles(_view(spark, d), _all_windows(spark, d))
+    return windows.with_narrative(profiles.where("total_reviews > 0")).select("window_label", "narrative")
 
 
 def window_summary_job(spark, d):
     done = summaries.window_summaries(demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d))
-    return done.drop("stats", "narrative").withColumn("total_reviews", F.coalesce("total_reviews", F.lit(0)))
+    return done.drop("stats", "narrative")
 
 
 def stats_json(spark, d):
-    return windows.parse_stats(windows.stats_json(windows.window_counts(_view(spark, d), demo.windows(spark))))
+    profiles = windows.window_profiles(_view(spark, d), _all_windows(spark, d)).where("total_reviews > 0")
+    return windows.parse_stats(profiles.select("window_label", windows.stats_json().alias("stats")))
 
 
 def newest_first_thread(spark, d):

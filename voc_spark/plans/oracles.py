@@ -180,8 +180,11 @@ def out_of_range(lo: str, hi: str) -> str:
 
 def rules(table: str) -> str:
     """The word-list rules over `table`, as CTE `labelled`."""
+    # Words two blanks apart, so that each match owns the blanks around it.
+    pattern = " (" + "|".join(t.replace(" ", "  ") for t in words.ALL_TERMS) + ") "
+
     def hit_list(terms):
-        return array(words.as_hits(terms))
+        return array(t.replace(" ", "  ") for t in terms)
 
     def first(terms):
         return f"list_filter(hits, lambda h: list_contains({hit_list(terms)}, h))[1]"
@@ -196,7 +199,7 @@ def rules(table: str) -> str:
     complaint = f"feedback_category IN {in_list(tx.COMPLAINTS)}"
     return f"""
 found AS (SELECT *, regexp_extract_all('  ' || regexp_replace(lower(review_text), '[^\\p{{L}}]+', '  ', 'g') || '  ',
-            {q(words.term_pattern())}, 1) AS hits FROM {table}),
+            {q(pattern)}, 1) AS hits FROM {table}),
 scored AS (SELECT *, {counted}, list_has_any(hits, {hit_list(words.NEGATIVE_TERMS)}) AS neg,
             list_has_any(hits, {hit_list(words.POSITIVE_TERMS)}) AS pos FROM found),
 named AS (SELECT *, CASE WHEN pos AND NOT neg THEN {q(tx.PRAISE)} WHEN {most} > 0 THEN (CASE {pick} END)
@@ -463,7 +466,7 @@ FROM overlap LEFT JOIN (SELECT window_label, count FROM counts WHERE dimension =
             WINDOWS, OVERLAP, window_counts("all_windows")),
         "stats_json": with_base(
             "SELECT window_label, dimension, value, count FROM counts WHERE dimension <> 'complaints_by_product'",
-            WINDOWS, window_counts("report_windows")),
+            WINDOWS, window_counts("all_windows")),
         "newest_first_thread": "SELECT * FROM conversations",
         "context_window": """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS position, turn,
   CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, coalesce(text, '') AS content

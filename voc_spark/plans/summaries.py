@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voc_spark import taxonomy as tx
 from voc_spark.operators.ingest import upsert_summaries
 from voc_spark.operators.joins import counting_view
-from voc_spark.operators.windows import date_range_overlap, stats_json, window_counts, window_narrative
+from voc_spark.operators.windows import date_range_overlap, stats_json, window_profiles, with_narrative
+from voc_spark.sources.parquet import stored
 
 
 def label_windows(windows: DataFrame) -> DataFrame:
@@ -22,20 +23,21 @@ def window_summaries(
     """One row per window: success, error, total_reviews, stats, narrative.
 
     A window outside the data or without rows has an error and no stats. `write_narratives`
-    may turn the counts into (window_label, narrative) rows by a model.
+    may turn the profiles into (window_label, narrative) rows by a model. After the daily counts
+    everything is computed on the window's own row.
     """
-    counts = window_counts(counting_view(reviews, classifications), windows, end_of_day)
-    written = write_narratives(counts) if write_narratives else None
-    results = stats_json(counts).join(window_narrative(counts, written), "window_label")
-    checked = date_range_overlap(windows, reviews)
+    profiles = window_profiles(counting_view(reviews, classifications), windows, end_of_day)
+    if write_narratives:
+        profiles = stored(profiles, "profiles")
+    done = with_narrative(profiles, write_narratives(profiles) if write_narratives else None)
     dated = F.col("date_start").isNotNull() & F.col("date_end").isNotNull()
     error = (
         F.when(~dated, "Both dates are needed.").when(~F.col("is_valid"), F.col("message"))
-        .when(F.col("total_reviews").isNull(), tx.NO_REVIEWS_IN_RANGE)
+        .when(F.col("total_reviews") == 0, tx.NO_REVIEWS_IN_RANGE)
     )
-    return checked.join(results, "window_label", "left").withColumn("error", error).select(
-        "window_label", "date_start", "date_end", F.col("error").isNull().alias("success"), "error", "total_reviews",
-        "stats", "narrative",
+    return date_range_overlap(done, reviews).withColumn("error", error).select(
+        "window_label", "date_start", "date_end", F.col("error").isNull().alias("success"), "error",
+        "total_reviews", stats_json().alias("stats"), "narrative",
     )
 
 

@@ -55,8 +55,14 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that arrives in too few row groups; a large table stays as it is scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = source(spark, sf_dir, "lineitem")
+    items = spread(source(spark, sf_dir, "lineitem"))
     orders = source(spark, sf_dir, "orders")
     parts = source(spark, sf_dir, "part")
     offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 3571) % 86400
@@ -148,7 +154,7 @@ BUILDERS = {
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as reviews, each opened by a phrase of known category."""
-    docs = source(spark, sf_dir, "documents")
+    docs = spread(source(spark, sf_dir, "documents"))
     return docs.select(
         F.col("doc_id").cast("string").alias("review_id"), F.col("source").alias("product_category"),
         F.concat(by_number(F.col("doc_id"), PHRASES), F.lit(" "), "text").alias("review_text"),
@@ -164,7 +170,7 @@ def windows(spark: SparkSession) -> DataFrame:
 def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One window per customer and order month, so the window table grows with the data."""
     start = F.col("o_orderdate").cast("date")
-    return source(spark, sf_dir, "orders").select(
+    return spread(source(spark, sf_dir, "orders")).select(
         F.concat(F.lit("w"), "o_orderkey").alias("window_label"),
         start.cast("string").alias("date_start"),
         F.date_add(start, (F.col("o_custkey") % 120 - 10).cast("int")).cast("string").alias("date_end"),
@@ -181,7 +187,7 @@ def spec_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     start = F.when(k % 7 == 0, F.date_add(day, 60)).when(k % 11 == 0, F.date_add(day, -4000)).otherwise(day)
     end = F.when(k % 13 == 0, F.date_add(day, 4000)).otherwise(F.date_add(day, (k % 50).cast("int")))
-    return source(spark, sf_dir, "orders").select(
+    return spread(source(spark, sf_dir, "orders")).select(
         k.alias("spec_id"),
         by_number(k, ["count", "breakdown", "chart", "summary"]).alias("query_type"),
         F.when(k % 4 == 1, pick(4, ["sentiment", "quarter", "rating", "product_category"])).alias("breakdown_column"),
@@ -223,7 +229,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def followup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A follow-up completion per document; some miss, some hold a dash-only line."""
-    docs = source(spark, sf_dir, "documents")
+    docs = spread(source(spark, sf_dir, "documents"))
     text = F.concat(
         F.lit("- About "), "source", F.lit("?\n\n"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("-\n")).otherwise(F.lit("-- What next \n")),
