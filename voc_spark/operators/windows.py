@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voc_spark import taxonomy as tx
 from voc_spark.functions.times import is_midnight
-from voc_spark.operators.counts import rows_in
 from voc_spark.operators.profile import coverage
 from voc_spark.sources.parquet import stored
 
@@ -42,17 +41,17 @@ def daily_marginals(view: DataFrame) -> DataFrame:
         dated = view.withColumns(
             {"day": F.col("review_date").cast("date"), "at_midnight": is_midnight(F.col("review_date"))}
         )
-    combos = dated.where("day IS NOT NULL").groupBy("day", "at_midnight", *tx.FILTER_DIMENSIONS).agg(
-        rows_in(view).alias("c")
-    )
+    weight = F.col("n") if "n" in view.columns else F.lit(1).cast("bigint")
     entry = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
     complaint = F.when(F.col("feedback_category").isin(tx.COMPLAINTS), F.col("product_category"))
-    spread = combos.select("day", "at_midnight", "c", F.inline(F.array(
+    # With days in the key, combinations of all dimensions would hardly be fewer than the rows;
+    # single values are, so each task sends a few rows per day.
+    spread = dated.where("day IS NOT NULL").select("day", "at_midnight", weight.alias("c"), F.inline(F.array(
         *[entry(d, F.col(d)) for d in tx.FILTER_DIMENSIONS],
         entry(COMPLAINT_DIMENSION, complaint), entry("total", F.lit("all")),
     )))
     return spread.where("value IS NOT NULL").groupBy("dimension", "value", "day").agg(
-        F.sum("c").alias("rows"), F.coalesce(F.sum(F.when(F.col("at_midnight"), F.col("c"))), F.lit(0)).alias("midnight_rows")
+        F.sum("c").alias("rows"), F.sum(F.when(F.col("at_midnight"), F.col("c")).otherwise(0)).alias("midnight_rows")
     )
 
 
