@@ -33,15 +33,13 @@ def message(spark, text: str) -> DataFrame:
 
 
 def _or_message(answer: DataFrame, text: str) -> DataFrame:
-    """The answer, or one message row when it is empty; the few answer rows meet one constant row."""
-    one = answer.sparkSession.range(1).select(F.lit(1).alias("one"))
-    filled = one.join(answer.withColumn("one", F.lit(1)), "one", "left")
-    empty = F.col("kind").isNull()
-    return filled.select(
-        F.when(empty, "message").otherwise(F.col("kind")).alias("kind"),
-        F.when(empty, text).otherwise(F.col("explanation")).alias("explanation"),
-        F.coalesce("position", F.lit(0)).alias("position"), "label", "value",
-    )
+    """The answer, or one message row when it is empty.
+
+    An answer has one row per group value or column, so counting it in one place is cheap.
+    """
+    rows = answer.withColumn("_real", F.lit(1)).unionByName(message(answer.sparkSession, text).withColumn("_real", F.lit(0)))
+    found = F.sum("_real").over(Window.partitionBy(F.lit(0)))
+    return rows.withColumn("_found", found).where("_real = 1 OR _found = 0").drop("_real", "_found")
 
 
 def _count(reviews, classifications, spec):
