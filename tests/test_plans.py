@@ -43,6 +43,7 @@ def test_latest_reviews_is_a_top_k_without_shuffling_the_tables(spark, shuffle_j
     df = joins.latest_reviews(demo.reviews(spark, FOLDER), demo.classifications(spark, FOLDER), 100)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in text and "SortMergeJoin" not in text
+    assert "GreaterThanOrEqual(review_date" in text
     # Only the distinct ids of the few selected rows are exchanged by key.
     assert text.count("Exchange hashpartitioning") == 1
 
@@ -76,3 +77,7 @@ def test_text_is_scanned_for_terms_once(spark):
     df = QUERIES["classify_rules"](spark, FOLDER)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert text.count("split(lower(") == 1
+
+
+def test_snapshot_stats_leave_the_texts_unread(spark):
+    assert "review_text:string" not in QUERIES["top_themes"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

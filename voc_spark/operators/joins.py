@@ -7,6 +7,9 @@ group splittable or folds it before the shuffle.
 
 from pyspark.sql import DataFrame, functions as F
 
+from voc_spark.functions.times import ntz
+from voc_spark.sources.parquet import stored
+
 LABELS = ["feedback_category", "sentiment", "urgency"]
 CLASS_COLUMNS = [*LABELS, "reasoning", "classified_at"]
 REVIEW_COLUMNS = [
@@ -61,14 +64,21 @@ def latest_reviews(reviews: DataFrame, classifications: DataFrame, limit: int =
     """The newest `limit` joined rows; missing dates come first.
 
     Every review gives at least one joined row, so only the newest `limit` reviews can
-    appear. They are few by definition and go to the classifications by broadcast.
+    appear. They are found on two narrow columns first; their oldest date then lets the scan of
+    the wide columns skip the rest. Being few by definition, they go to the classifications by broadcast.
     """
     newest = [F.col("review_date").desc_nulls_first(), F.col("review_id")]
-    top = reviews.select(*REVIEW_COLUMNS).orderBy(*newest).limit(limit)
+    keys = stored(reviews.select("review_id", "review_date").orderBy(*newest).limit(limit), "newest")
+    oldest = keys.agg(F.min("review_date").cast("string")).first()[0]
+    recent = F.col("review_date").isNull()
+    if oldest is not None:
+        recent |= F.col("review_date") >= ntz(oldest)
+    ids = F.broadcast(keys.select("review_id"))
+    top = reviews.select(*REVIEW_COLUMNS).where(recent).join(ids, "review_id", "left_semi")
     matched = classifications.select("review_id", *CLASS_COLUMNS).join(F.broadcast(top), "review_id")
-    seen = classifications.select("review_id").join(F.broadcast(top.select("review_id")), "review_id", "left_semi")
     # At most `limit` distinct ids are left here, so this side is bounded too.
-    pending = top.join(F.broadcast(seen.distinct()), "review_id", "left_anti")
+    seen = classifications.select("review_id").join(ids, "review_id", "left_semi").distinct()
+    pending = top.join(F.broadcast(seen), "review_id", "left_anti")
     types = dict(matched.dtypes)
     rows = matched.select(*REVIEW_COLUMNS, *CLASS_COLUMNS).unionByName(
         pending.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in CLASS_COLUMNS])
