@@ -81,3 +81,32 @@ def test_text_is_scanned_for_terms_once(spark):
 
 def test_snapshot_stats_leave_the_texts_unread(spark):
     assert "review_text:string" not in QUERIES["top_themes"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_review_is_split_over_tasks(spark, shuffle_joins):
+    """A third of all classifications belong to one review; the join splits that partition."""
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "400k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 20000, 1, 8)
+        reviews = ids.selectExpr(
+            "cast(id AS string) AS review_id", "'Toys' AS product_category", "'t' AS product_title", "'x' AS review_text",
+            "3.0D AS rating", "timestamp_ntz'2022-01-01' AS review_date", "'Q1' AS quarter", "true AS verified_purchase")
+        labels = spark.range(0, 300000, 1, 8).selectExpr(
+            "if(id % 3 = 0, '7', cast(id % 19000 AS string)) AS review_id", "'Not As Described' AS feedback_category",
+            "'Negative' AS sentiment", "'High' AS urgency", "md5(cast(id AS string)) AS reasoning",
+            "timestamp_ntz'2022-01-02' AS classified_at")
+        df = joins.feedback_view(reviews, labels)
+        assert len(df.select("review_id", "reasoning").collect()) == 301000
+        collected = df.select("review_id", "reasoning")
+        collected.collect()
+        assert "skew=true" in collected._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voc_spark import taxonomy as tx
+from voc_spark.schemas import UNIQUE_KEYS, required_columns
 
 
 def audit_not_null_unique(df: DataFrame, required: Sequence[str], key: str | None = None) -> DataFrame:
@@ -23,6 +24,11 @@ def audit_not_null_unique(df: DataFrame, required: Sequence[str], key: str | Non
     return out
 
 
+def audit_table(df: DataFrame, table: str) -> DataFrame:
+    """The audit with the rules of a stored table."""
+    return audit_not_null_unique(df, required_columns(table), UNIQUE_KEYS.get(table))
+
+
 def orphan_classifications(classifications: DataFrame, reviews: DataFrame) -> DataFrame:
     """Classifications whose review does not exist; a null review_id passes, as in a foreign key."""
     return classifications.where(F.col("review_id").isNotNull()).join(

@@ -3,17 +3,26 @@
 from collections.abc import Sequence
 from itertools import chain, combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from voc_spark import taxonomy as tx
 from voc_spark.functions.times import is_midnight, ntz
 from voc_spark.operators.counts import rows_in
 from voc_spark.operators.profile import coverage
+from voc_spark.schemas import QUERY_SPECS
 from voc_spark.sources.parquet import stored
 
 SPEC_FILTERS = [*tx.FILTER_DIMENSIONS, "verified_purchase"]
 
 
+def spec_table(spark: SparkSession, specs: Sequence[dict]) -> DataFrame:
+    """Spec dicts as rows; spec_id is the position where none is given."""
+    schema = T.StructType([T.StructField("spec_id", T.LongType(), False), *QUERY_SPECS.fields])
+    rows = [[s.get("spec_id", i), *[s.get(f) for f in QUERY_SPECS.fieldNames()]] for i, s in enumerate(specs)]
+    return spark.createDataFrame(rows, schema)
+
+
 def normalize_specs(specs: DataFrame, reviews: DataFrame) -> DataFrame:
     """Put reversed dates in order, clip to the covered dates, reject ranges without data; each change is noted."""
     cover = coverage(reviews).select(
@@ -42,7 +51,7 @@ def normalize_specs(specs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def validate_specs(specs: DataFrame, known: DataFrame) -> DataFrame:
-    """(spec_id, problem): filter values that occur nowhere in the data, and columns outside the whitelist."""
+    """(spec_id, problem): unknown query types, filter values that occur nowhere in the data, columns outside the whitelist."""
     filters = specs.select("spec_id", F.inline(F.array(*[
         F.struct(F.lit(d).alias("column"), F.col(d).alias("value")) for d in tx.FILTER_DIMENSIONS
     ]))).where("value <> ''")
@@ -56,7 +65,10 @@ def validate_specs(specs: DataFrame, known: DataFrame) -> DataFrame:
             "spec_id", F.format_string(message, F.coalesce(F.col(name), F.lit("None"))).alias("problem")
         )
 
-    return unknown.unionByName(bad_column("breakdown", "breakdown_column", tx.BAD_BREAKDOWN_FORMAT)).unionByName(
+    bad_type = specs.where(~F.coalesce(F.col("query_type").isin(tx.QUERY_TYPES), F.lit(False))).select(
+        "spec_id", F.concat(F.lit("unknown query type "), F.coalesce("query_type", F.lit("None"))).alias("problem")
+    )
+    return unknown.unionByName(bad_type).unionByName(bad_column("breakdown", "breakdown_column", tx.BAD_BREAKDOWN_FORMAT)).unionByName(
         bad_column("chart", "group_by_column", tx.BAD_CHART_FORMAT)
     )
 
@@ -151,7 +163,8 @@ def count_specs(view: DataFrame, specs: DataFrame) -> DataFrame:
     )
     # Distinct edges: a series holds at most two per calendar day, however many specs ask for it.
     edges = stored(dated.select(*keys, "day", "step").distinct(), "edges")
-    wanted = by_day.join(edges.select(*keys).distinct(), keys, "left_semi")
+    asked = stored(edges.select(*keys).distinct(), "asked")
+    wanted = by_day.join(asked, keys, "left_semi")
     series = Window.partitionBy(*keys).orderBy("day", "step").rowsBetween(Window.unboundedPreceding, 0)
     running = (
         wanted.unionByName(edges.withColumn("c", F.lit(0).cast("bigint")))

@@ -335,7 +335,7 @@ def classify_model(spark, d):
 
 def build_prompts(spark, d):
     prompts = classify.build_prompts(demo.text_reviews(spark, d))
-    part = lambda m: F.concat_ws("~", m["role"], m["content"], m["call_id"], m["arguments"])
+    part = lambda m: F.concat_ws("~", *[m[f] for f in classify.MESSAGE])
     return prompts.select(
         "review_id", F.size("messages").alias("n_messages"),
         F.md5(F.array_join(F.transform("messages", part), "|")).alias("prompt_md5"),

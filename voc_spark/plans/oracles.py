@@ -435,7 +435,7 @@ UNION ALL SELECT 7, 'message', {kind[6]}, 0, NULL, NULL"""),
 
 def _texts() -> dict[str, str]:
     fields = "feedback_category, sentiment, urgency, reasoning"
-    head = [("system", tx.SYSTEM_PROMPT, None, None), *few_shot_messages()]
+    head = [("system", tx.SYSTEM_PROMPT), *few_shot_messages()]
     head_text = "|".join("~".join(p for p in m if p is not None) for m in head)
     opening, closing = tx.REVIEW_PROMPT_FORMAT.split("%s")
     question = f"{q(opening)} || review_text || {q(closing)}"

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from voc_spark.schemas import RAW_REVIEWS, TABLES
 from voc_spark.session import fresh_dir
+from voc_spark.taxonomy import PRODUCT_CATEGORIES
 
 
 def scan_reviews(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_REVIEWS) -> DataFrame:
@@ -14,6 +15,11 @@ def scan_reviews(spark: SparkSession, paths: str | Sequence[str], schema: T.Stru
     return spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
 
 
+def category_files(root: str, categories: Sequence[str] = tuple(PRODUCT_CATEGORIES)) -> list[str]:
+    """The raw review file of every product category below `root`."""
+    return [f"{root}/{c}.parquet" for c in categories]
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
     """Write `df` and return it as a scan of what was written."""
     df.write.mode(mode).parquet(path)

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from voc_spark.operators.ingest import first_per_key, ingest_project
-from voc_spark.operators.joins import CLASS_COLUMNS, REVIEW_COLUMNS
+from voc_spark.operators.ingest import first_per_key, ingest_project, stamp_classified, stamp_ingested
 from voc_spark.schemas import CLASSIFICATIONS, REVIEWS
 from voc_spark.sources.parquet import stored
 
@@ -43,11 +42,9 @@ def ingest_batch(
         earlier = read_table(spark, root, "reviews").where(F.col(BATCH) < batch_id).select("review_id")
         known = earlier.join(fresh.select("review_id"), "review_id", "left_semi")
         rows = rows.join(known, "review_id", "left_anti")
-    _write_batch(rows.select(*REVIEW_COLUMNS).withColumn("ingested_at", F.current_timestamp()), root, "reviews", batch_id)
+    _write_batch(stamp_ingested(rows), root, "reviews", batch_id)
     added = spark.read.schema(REVIEWS).parquet(f"{root}/reviews/{BATCH}={batch_id}")
-    now = F.current_timestamp().cast("timestamp_ntz")
-    labels = classify(added).withColumn("classified_at", now)
-    _write_batch(labels.select("review_id", *CLASS_COLUMNS), root, "classifications", batch_id)
+    _write_batch(stamp_classified(classify(added)), root, "classifications", batch_id)
 
 
 def start_ingest(
