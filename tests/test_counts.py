@@ -137,3 +137,14 @@ def test_hot_classification_key(spark, reviews):
     assert joins.pending_reviews(reviews, many).count() == 5
     assert joins.latest_reviews(reviews, many, 1500).count() == 1500
     assert joins.latest_classification(many).first().reasoning == "2999"
+
+
+def test_large_limit_takes_the_same_rows_without_a_hint(reviews, classifications):
+    small, large = (joins.latest_reviews(reviews, classifications, n) for n in (1000, 20_000))
+    assert rows(small) == rows(large)
+
+
+def test_shuffle_partitions_follow_the_input():
+    from voc_spark.session import shuffle_partitions
+
+    assert shuffle_partitions(10) == 200 and shuffle_partitions(100 * 2**40) == 409600

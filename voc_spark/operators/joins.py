@@ -18,6 +18,8 @@ REVIEW_COLUMNS = [
 ]
 COUNT_COLUMNS = ["product_category", "quarter", "verified_purchase", "review_date"]
 COUNT_KEYS = ["review_id", *COUNT_COLUMNS]
+# Row limits up to this may be broadcast whatever the rows hold.
+BROADCAST_ROWS = 10_000
 
 
 def latest_classification(classifications: DataFrame) -> DataFrame:
@@ -65,20 +67,21 @@ def latest_reviews(reviews: DataFrame, classifications: DataFrame, limit: int =
 
     Every review gives at least one joined row, so only the newest `limit` reviews can
     appear. They are found on two narrow columns first; their oldest date then lets the scan of
-    the wide columns skip the rest. Being few by definition, they go to the classifications by broadcast.
+    the wide columns skip the rest. A small limit bounds what goes to the classifications by broadcast.
     """
+    small = F.broadcast if limit <= BROADCAST_ROWS else lambda df: df
     newest = [F.col("review_date").desc_nulls_first(), F.col("review_id")]
     keys = stored(reviews.select("review_id", "review_date").orderBy(*newest).limit(limit), "newest")
     oldest = keys.agg(F.min("review_date").cast("string")).first()[0]
     recent = F.col("review_date").isNull()
     if oldest is not None:
         recent |= F.col("review_date") >= ntz(oldest)
-    ids = F.broadcast(keys.select("review_id"))
+    ids = small(keys.select("review_id"))
     top = reviews.select(*REVIEW_COLUMNS).where(recent).join(ids, "review_id", "left_semi")
-    matched = classifications.select("review_id", *CLASS_COLUMNS).join(F.broadcast(top), "review_id")
+    matched = classifications.select("review_id", *CLASS_COLUMNS).join(small(top), "review_id")
     # At most `limit` distinct ids are left here, so this side is bounded too.
     seen = classifications.select("review_id").join(ids, "review_id", "left_semi").distinct()
-    pending = top.join(F.broadcast(seen), "review_id", "left_anti")
+    pending = top.join(small(seen), "review_id", "left_anti")
     types = dict(matched.dtypes)
     rows = matched.select(*REVIEW_COLUMNS, *CLASS_COLUMNS).unionByName(
         pending.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in CLASS_COLUMNS])

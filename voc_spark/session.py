@@ -11,8 +11,22 @@ _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def build_session(app: str = "voc_spark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with AQE, skew-join handling and UTC; `conf` overrides any setting."""
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """Enough shuffle partitions for about 256 MB each; adaptive execution merges those that stay small."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "voc_spark", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with AQE, skew-join handling and UTC; `conf` overrides any setting.
+
+    `input_bytes`, the size of the largest table, sets the number of shuffle partitions:
+    adaptive execution can merge partitions but not add any for evenly spread data.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -21,6 +35,7 @@ def build_session(app: str = "voc_spark", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **({"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes))} if input_bytes else {}),
         **conf,
     }
     for key, value in settings.items():

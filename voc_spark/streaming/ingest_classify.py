@@ -35,14 +35,14 @@ def ingest_batch(
     """Store the keys of one micro-batch that earlier batches do not hold, then classify exactly those."""
     spark = batch.sparkSession
     keyed = prepare(batch).where(F.col("review_id").isNotNull())
-    # Written once: the scan has a known size, so a small batch is broadcast and the stored table is not shuffled.
-    fresh = stored(first_per_key(keyed, "review_id", order), "batch")
-    rows = ingest_project(fresh)
+    fresh = first_per_key(keyed, "review_id", order)
     if batch_id > 0:
+        # Written once: the scan has a known size, so a small batch is broadcast and the stored table is not shuffled.
+        fresh = stored(fresh, "batch")
         earlier = read_table(spark, root, "reviews").where(F.col(BATCH) < batch_id).select("review_id")
         known = earlier.join(fresh.select("review_id"), "review_id", "left_semi")
-        rows = rows.join(known, "review_id", "left_anti")
-    _write_batch(stamp_ingested(rows), root, "reviews", batch_id)
+        fresh = fresh.join(known, "review_id", "left_anti")
+    _write_batch(stamp_ingested(ingest_project(fresh)), root, "reviews", batch_id)
     added = spark.read.schema(REVIEWS).parquet(f"{root}/reviews/{BATCH}={batch_id}")
     _write_batch(stamp_classified(classify(added)), root, "classifications", batch_id)
 
