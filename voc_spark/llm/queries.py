@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, mixing, rule_cascade, url_filter
+from voc_spark.llm import chat_tree, mixing, quality_cnn, rule_cascade, toxicity_crf, url_filter
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_cnn.score(docs, quality_cnn.fit_on(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.fit(url_filter.seed_table(spark))
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.parse_rules(URL_RULES), model)
@@ -41,9 +47,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_crf.score(docs, toxicity_crf.fit_on(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
