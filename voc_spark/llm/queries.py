@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, mixing, quality_cnn, rule_cascade, toxicity_crf, url_filter
+from voc_spark.llm import chat_tree, mixing, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
@@ -47,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity_crf.score(docs, toxicity_crf.fit_on(docs, table(spark, sf_dir, "labels")))
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
 }
