@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, mixing, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
+from voc_spark.llm import chat_tree, decontaminate, mixing, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
@@ -51,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity_crf.score(docs, toxicity_crf.fit_on(docs, table(spark, sf_dir, "labels")))
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
 }

@@ -197,19 +197,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return w
 
 
+class Scores(dict):
+    """Scores of the words met so far."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights.tolist()
+
+    def __missing__(self, word: str) -> float:
+        score = self[word] = sum([self.weights[b] for b in buckets(word)])
+        return score
+
+
 class Tagger:
     """A field with the scores of the words it has met; the memory of words is emptied when it is full."""
 
     def __init__(self, field: Crf):
-        self.field, self.known, self.weights = field, {}, field.weights.tolist()
+        self.field, self.known = field, Scores(field.weights)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        known, weights = self.known, self.weights
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = sum([weights[b] for b in buckets(w)])
-        return np.fromiter(map(known.__getitem__, words), float, len(words))
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
     def tag(self, texts: list[str], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Score per text, and per text the spans (start, end, p) of its words that are toxic with p of at least `least`."""
