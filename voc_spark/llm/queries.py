@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, decontaminate, mixing, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
+from voc_spark.llm import chat_tree, decontaminate, mixing, pii, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
@@ -61,6 +61,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_all(table(spark, sf_dir, "documents"), pii.fit(pii.seed_table(spark)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
@@ -70,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
