@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, decontaminate, mixing, pii, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
+from voc_spark.llm import chat_tree, compact_windows, decontaminate, mixing, pii, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
@@ -36,6 +36,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="long", source="string", text="string")
     mixed = mixing.mix(stored(docs.select("doc_id", "source", mixing.words().alias("size")), "mix-sizes"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
