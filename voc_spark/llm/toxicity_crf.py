@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -265,3 +266,21 @@ def score(docs: DataFrame, field: Crf) -> DataFrame:
                 [b.column("doc_id"), b.column("held_out"), pa.array(np.concatenate([*scores, s])), marked], ["doc_id", "held_out", "score", "spans"])
 
     return rows.mapInArrow(run, OUTPUT)
+
+
+def without_toxic(docs: DataFrame, field: Crf, threshold: float = 0.5) -> DataFrame:
+    """The documents with a score below `threshold`, with all their columns."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = Tagger(field)
+        for s in series:
+            scores, some, size = [], [], 0
+            for t in s:
+                some.append(t or "")
+                size += len(some[-1]) // 5 + 1
+                if size >= BLOCK_WORDS:
+                    scores.append(tagger.tag(some, 2.0)[0])
+                    some, size = [], 0
+            yield pd.Series(np.concatenate([*scores, tagger.tag(some, 2.0)[0]]))
+
+    return docs.where(F.pandas_udf(run, "double")(F.col("text").cast("string")) < threshold)
