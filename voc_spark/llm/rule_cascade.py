@@ -66,7 +66,8 @@ def _repeated(words: Column) -> Column:
     return let(F.sort_array(windows), lambda s: let(starts(s), covered))
 
 
-BASE_FAILED = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def default_rules() -> list[Rule]:
@@ -115,9 +116,9 @@ def order(estimates: Sequence[Estimate]) -> list[Rule]:
     return [e.rule for e in sorted(estimates, key=lambda e: (-e.gain, e.rule.name))]
 
 
-def cascade(rules: Sequence[Rule], first: Column = BASE_FAILED) -> Column:
+def cascade(rules: Sequence[Rule]) -> Column:
     """Name of the first rule that rejects the document, null if none does; later rules are not evaluated."""
-    verdict = F.when(first, F.lit("base"))
+    verdict = F.when(base_failed(), F.lit("base"))
     for rule in rules:
         verdict = verdict.when(rule.fails, F.lit(rule.name))
     return verdict
@@ -130,7 +131,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
     ordered = order(estimate(docs, rules, sample_rows))
     return (
         with_base(docs)
-        .withColumn("base_failed", BASE_FAILED)
+        .withColumn("base_failed", base_failed())
         .withColumn("failed_rule", cascade(ordered))
         .withColumn("kept", F.col("failed_rule").isNull())
         .drop("text")
