@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,19 @@ def test_summaries_upsert_by_label_and_keep_old_versions(spark):
     assert ingest.stored_summary(now, "w9").count() == 0
 
 
+def test_upsert_keeps_one_row_per_key(spark):
+    make = lambda *r: spark.createDataFrame(r, "window_label string, total_reviews long, narrative string")
+    got = ingest.upsert(make(("w1", 2, "b"), ("w1", 3, "a"), (None, 1, "x")), make(("w1", 9, "old"), ("w2", 1, "kept")))
+    assert sorted(rows(got)) == [("w1", 3, "a"), ("w2", 1, "kept")]
+
+
+def test_scratch_is_deleted_with_its_job(spark):
+    with parquet.scratch(spark):
+        path = parquet.stored(spark.range(3), "gone").inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
 def test_init_tables_is_repeatable(spark):
     root = fresh_dir(spark, "tables")
     paths = parquet.init_tables(spark, root)

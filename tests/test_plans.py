@@ -39,13 +39,24 @@ def test_groups_are_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(QUERIES[name](spark, FOLDER))
 
 
-def test_latest_reviews_is_a_top_k_without_shuffling_the_tables(spark, shuffle_joins):
+def test_latest_reviews_is_a_top_k_without_a_forced_broadcast(spark, shuffle_joins):
     df = joins.latest_reviews(demo.reviews(spark, FOLDER), demo.classifications(spark, FOLDER), 100)
     text = df._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in text and "SortMergeJoin" not in text
-    assert "GreaterThanOrEqual(review_date" in text
-    # Only the distinct ids of the few selected rows are exchanged by key.
-    assert text.count("Exchange hashpartitioning") == 1
+    assert "TakeOrderedAndProject" in text and "BroadcastHashJoin" not in text
+    assert "scalar-subquery" in text.lower() or "Subquery" in text
+
+
+@pytest.mark.parametrize("name", ["aggregated_stats", "top_themes", "dashboard_charts", "filter_multi_select", "drilldown_rows"])
+def test_statistics_cover_all_rows_without_a_forced_broadcast(spark, shuffle_joins, name):
+    text = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "LocalLimit 1000" not in text
+    assert name == "drilldown_rows" or "review_text:string" not in text
+
+
+def test_pending_ids_are_compared_without_their_texts(spark, shuffle_joins):
+    df = joins.pending_reviews(demo.reviews(spark, FOLDER), demo.classifications(spark, FOLDER))
+    anti = df._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]
+    assert "review_text" not in anti.split("Relation")[0]
 
 
 def test_label_filter_drops_the_part_without_labels(spark, shuffle_joins):

@@ -127,7 +127,33 @@ def test_spec_counts_agree_one_by_one_list_and_table(spark, facts):
     as_dicts = [{"spec_id": s[0], **dict(zip(FIELDS, s[1:]))} for s in SPECS]
     single = {s["spec_id"]: counts.count_query(frame, **s).first()[0] for s in as_dicts}
     assert dict(rows(specs.count_spec_list(frame, as_dicts))) == single
-    assert dict(rows(specs.count_specs(frame, table))) == single
+    counted = specs.count_specs(frame, table)
+    assert {r.spec_id: r["count"] for r in counted.collect()} == single
+    assert counted.where("error IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("start, end", [("1997-13-01", "1997-06-30"), ("soon", "1997-06-30"), ("1997-01-01", "1997-06-30 12:00:00")])
+def test_bad_dates_stay_with_their_row(spark, facts, start, end):
+    _, frame = facts
+    good = (1, None, None, None, None, None, "2022-01-01", "2022-12-31")
+    table = spark.createDataFrame(
+        [good, (2, None, None, None, None, None, start, end)],
+        "spec_id long, product_category string, feedback_category string, sentiment string, urgency string,"
+        " verified_purchase boolean, date_start string, date_end string")
+    got = {r.spec_id: (r["count"], r.error) for r in specs.count_specs(frame, table).collect()}
+    assert got[1][1] is None and got[1][0] > 0 and got[2] == (0, tx.BAD_DATES_FORMAT % (start, end))
+    wanted = spark.createDataFrame([("w", start, end), ("ok", "2022-01-01", "2022-12-31")], "window_label string, date_start string, date_end string")
+    assert {r.window_label: r.total_reviews > 0 for r in windows.window_profiles(frame, wanted).collect()} == {"w": False, "ok": True}
+    with pytest.raises(ValueError):
+        counts.count_query(frame, date_start=start, date_end=end)
+
+
+def test_a_stray_date_adds_one_row(spark, facts):
+    _, frame = facts
+    daily = windows.daily_marginals(frame)
+    stray = daily.limit(1).selectExpr("dimension", "value", "date'9999-01-01' AS day", "rows", "midnight_rows")
+    days = daily.select("day").distinct()
+    assert windows.running_marginals(daily.unionByName(stray), days).count() == windows.running_marginals(daily, days).count()
 
 
 def test_normalize_specs(spark, reviews):
@@ -162,10 +188,12 @@ def test_chart_types(spark):
      "No data available in that range. Currently available: 1997-01-01 to 1997-06-30."),
     ({"query_type": "summary", "date_start": "1997-01-01", "date_end": "1997-01-31"}, "summary", "why"),
     ({"query_type": "count", "sentiment": "Negative"}, "count", "why"),
+    ({"query_type": "count", "date_start": "1997-01-01", "date_end": "June"}, "message", tx.BAD_DATES_FORMAT % ("1997-01-01", "June")),
 ])
 def test_answers(reviews, classifications, spec, kind, text):
     got = answers.run_spec(reviews, classifications, {**spec, "explanation": "why"}).collect()
-    assert [(r.kind, r.explanation) for r in got] == [(kind, text)]
+    more = [("followup", text)] * 3 if kind == "summary" else []
+    assert [(r.kind, r.explanation) for r in got] == [(kind, text), *more]
 
 
 def test_answer_rows(reviews, classifications):

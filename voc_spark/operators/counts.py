@@ -85,14 +85,22 @@ def marginal_counts(
     return spread.groupBy(*keys, "dimension", "value").agg(F.sum("c").alias("count"))
 
 
-def aggregated_stats(snapshot: DataFrame, **filters: str | None) -> DataFrame:
-    """Total and four marginals of the snapshot rows that pass the filters."""
-    return marginal_counts(filter_dimensions(snapshot, **filters))
+def aggregated_stats(view: DataFrame, **filters: str | None) -> DataFrame:
+    """Total and four marginals of the joined rows that pass the filters.
+
+    All rows count. For statistics of the newest rows only, pass `joins.latest_reviews(…, limit)` as the view.
+    """
+    return marginal_counts(filter_dimensions(view, **filters))
+
+
+def filtered_rows(joined: DataFrame, **filters: str | None) -> DataFrame:
+    """The joined rows behind `aggregated_stats`, all columns, for drilling down."""
+    return filter_dimensions(joined, **filters)
 
 
-def top_themes(snapshot: DataFrame, n: int = 5, **filters: str | None) -> DataFrame:
-    """The `n` most frequent feedback categories of the filtered snapshot."""
-    df = filter_dimensions(snapshot, **filters).where(F.col("feedback_category").isNotNull())
+def top_themes(view: DataFrame, n: int = 5, **filters: str | None) -> DataFrame:
+    """The `n` most frequent feedback categories of the filtered rows."""
+    df = filter_dimensions(view, **filters).where(F.col("feedback_category").isNotNull())
     counted = df.groupBy("feedback_category").agg(rows_in(df).alias("count"))
     return counted.orderBy(F.desc("count"), "feedback_category").limit(n)
 

@@ -4,8 +4,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from voc_spark.functions.times import ntz
-from voc_spark.taxonomy import FILTER_DIMENSIONS
+from voc_spark.functions.times import is_plain_date, ntz
+from voc_spark.taxonomy import BAD_DATES_FORMAT, FILTER_DIMENSIONS
 
 
 def filter_dimensions(
@@ -31,10 +31,13 @@ def filter_dates(
     """Both ends included, and only if both are given.
 
     The end date means its midnight; `end_of_day` takes in the whole day. Works on
-    review_date, or on the (review_day, at_midnight) pair of the feedback cube.
+    review_date, or on the (review_day, at_midnight) pair of the feedback cube. Anything but
+    a plain date raises ValueError, as tables of specs and windows answer it with an error.
     """
     if not (date_start and date_end):
         return df
+    if not (is_plain_date(date_start) and is_plain_date(date_end)):
+        raise ValueError(BAD_DATES_FORMAT % (date_start, date_end))
     if "review_date" in df.columns:
         date = F.col("review_date")
         if end_of_day:

@@ -7,8 +7,6 @@ group splittable or folds it before the shuffle.
 
 from pyspark.sql import DataFrame, functions as F
 
-from voc_spark.functions.times import ntz
-from voc_spark.sources.parquet import stored
 
 LABELS = ["feedback_category", "sentiment", "urgency"]
 CLASS_COLUMNS = [*LABELS, "reasoning", "classified_at"]
@@ -18,8 +16,6 @@ REVIEW_COLUMNS = [
 ]
 COUNT_COLUMNS = ["product_category", "quarter", "verified_purchase", "review_date"]
 COUNT_KEYS = ["review_id", *COUNT_COLUMNS]
-# Row limits up to this may be broadcast whatever the rows hold.
-BROADCAST_ROWS = 10_000
 
 
 def latest_classification(classifications: DataFrame) -> DataFrame:
@@ -66,22 +62,18 @@ def latest_reviews(reviews: DataFrame, classifications: DataFrame, limit: int =
     """The newest `limit` joined rows; missing dates come first.
 
     Every review gives at least one joined row, so only the newest `limit` reviews can
-    appear. They are found on two narrow columns first; their oldest date then lets the scan of
-    the wide columns skip the rest. A small limit bounds what goes to the classifications by broadcast.
+    appear. They are found on two narrow columns first; their oldest date, a scalar subquery, then lets the
+    scan of the wide columns skip the rest. Nothing is broadcast by a hint: what is joined is known by its size at run time.
     """
-    small = F.broadcast if limit <= BROADCAST_ROWS else lambda df: df
     newest = [F.col("review_date").desc_nulls_first(), F.col("review_id")]
-    keys = stored(reviews.select("review_id", "review_date").orderBy(*newest).limit(limit), "newest")
-    oldest = keys.agg(F.min("review_date").cast("string")).first()[0]
-    recent = F.col("review_date").isNull()
-    if oldest is not None:
-        recent |= F.col("review_date") >= ntz(oldest)
-    ids = small(keys.select("review_id"))
+    keys = reviews.select("review_id", "review_date").orderBy(*newest).limit(limit)
+    oldest = keys.agg(F.min("review_date").alias("oldest")).select("oldest").scalar()
+    recent = F.col("review_date").isNull() | (F.col("review_date") >= oldest)
+    ids = keys.select("review_id")
     top = reviews.select(*REVIEW_COLUMNS).where(recent).join(ids, "review_id", "left_semi")
-    matched = classifications.select("review_id", *CLASS_COLUMNS).join(small(top), "review_id")
-    # At most `limit` distinct ids are left here, so this side is bounded too.
+    matched = classifications.select("review_id", *CLASS_COLUMNS).join(top, "review_id")
     seen = classifications.select("review_id").join(ids, "review_id", "left_semi").distinct()
-    pending = top.join(small(seen), "review_id", "left_anti")
+    pending = top.join(seen, "review_id", "left_anti")
     types = dict(matched.dtypes)
     rows = matched.select(*REVIEW_COLUMNS, *CLASS_COLUMNS).unionByName(
         pending.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in CLASS_COLUMNS])
@@ -91,8 +83,9 @@ def latest_reviews(reviews: DataFrame, classifications: DataFrame, limit: int =
 
 
 def pending_reviews(reviews: DataFrame, classifications: DataFrame) -> DataFrame:
-    """Reviews that have no classification yet."""
-    return reviews.join(classified_ids(classifications), "review_id", "left_anti")
+    """Reviews that have no classification yet. Ids are compared first, and only the texts of the few left are fetched."""
+    ids = reviews.select("review_id").join(classified_ids(classifications), "review_id", "left_anti")
+    return reviews.join(ids, "review_id", "left_semi")
 
 
 def lookup_rows(reviews: DataFrame, classifications: DataFrame, review_id: str | None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from voc_spark import taxonomy as tx
-from voc_spark.functions.times import is_midnight, ntz
+from voc_spark.functions.times import bad_dates, is_midnight, ntz, plain_date
 from voc_spark.operators.counts import rows_in
 from voc_spark.operators.profile import coverage
 from voc_spark.schemas import QUERY_SPECS
@@ -28,7 +28,7 @@ def normalize_specs(specs: DataFrame, reviews: DataFrame) -> DataFrame:
     cover = coverage(reviews).select(
         F.struct(F.col("date_min").cast("date").alias("lo"), F.col("date_max").cast("date").alias("hi")).alias("c")
     ).scalar()
-    first, second = F.col("date_start").try_cast("date"), F.col("date_end").try_cast("date")
+    first, second = plain_date(F.col("date_start")), plain_date(F.col("date_end"))
     both = first.isNotNull() & second.isNotNull()
     dated = specs.withColumn("c", cover).withColumns({"s": F.least(first, second), "e": F.greatest(first, second)})
     lo, hi, s, e = F.col("c.lo"), F.col("c.hi"), F.col("s"), F.col("e")
@@ -52,25 +52,23 @@ def normalize_specs(specs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def validate_specs(specs: DataFrame, known: DataFrame) -> DataFrame:
     """(spec_id, problem): unknown query types, filter values that occur nowhere in the data, columns outside the whitelist."""
-    filters = specs.select("spec_id", F.inline(F.array(*[
-        F.struct(F.lit(d).alias("column"), F.col(d).alias("value")) for d in tx.FILTER_DIMENSIONS
-    ]))).where("value <> ''")
-    unknown = filters.join(known.where("value IS NOT NULL"), ["column", "value"], "left_anti").select(
-        "spec_id", F.concat("column", F.lit(": unknown value "), "value").alias("problem")
-    )
+    # Stored, so that its size is known: it is broadcast while small, and the specs are then read once and not shuffled.
+    values = stored(known.where("value IS NOT NULL").select(F.col("column"), F.col("value")), "known")
 
-    def bad_column(query_type: str, name: str, message: str) -> DataFrame:
+    def bad_column(query_type: str, name: str, message: str) -> Column:
         bad = (F.col("query_type") == query_type) & ~F.coalesce(F.col(name).isin(tx.GROUP_COLUMNS), F.lit(False))
-        return specs.where(bad).select(
-            "spec_id", F.format_string(message, F.coalesce(F.col(name), F.lit("None"))).alias("problem")
-        )
-
-    bad_type = specs.where(~F.coalesce(F.col("query_type").isin(tx.QUERY_TYPES), F.lit(False))).select(
-        "spec_id", F.concat(F.lit("unknown query type "), F.coalesce("query_type", F.lit("None"))).alias("problem")
-    )
-    return unknown.unionByName(bad_type).unionByName(bad_column("breakdown", "breakdown_column", tx.BAD_BREAKDOWN_FORMAT)).unionByName(
-        bad_column("chart", "group_by_column", tx.BAD_CHART_FORMAT)
-    )
+        return F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+                        F.when(bad, F.format_string(message, F.coalesce(F.col(name), F.lit("None")))).alias("problem"))
+
+    bad_type = ~F.coalesce(F.col("query_type").isin(tx.QUERY_TYPES), F.lit(False))
+    checks = [
+        F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+                 F.when(bad_type, F.concat(F.lit("unknown query type "), F.coalesce("query_type", F.lit("None")))).alias("problem")),
+        bad_column("breakdown", "breakdown_column", tx.BAD_BREAKDOWN_FORMAT), bad_column("chart", "group_by_column", tx.BAD_CHART_FORMAT),
+        *[F.struct(F.lit(d).alias("column"), F.col(d).alias("value"), F.concat(F.lit(d + ": unknown value "), F.col(d)).alias("problem")) for d in tx.FILTER_DIMENSIONS],
+    ]
+    rows = specs.select("spec_id", F.inline(F.array(*checks))).where("problem IS NOT NULL AND coalesce(value, ' ') <> ''")
+    return rows.join(values, ["column", "value"], "left_anti").select("spec_id", "problem")
 
 
 def chart_types(requested: Column) -> Column:
@@ -125,9 +123,9 @@ def _keys(columns: Sequence[str]) -> list[Column]:
 
 
 def count_specs(view: DataFrame, specs: DataFrame) -> DataFrame:
-    """(spec_id, count) of a spec table of any size, by equi-joins on pre-counted rows.
+    """(spec_id, count, error) of a spec table of any size, by equi-joins on pre-counted rows.
 
-    The view is counted per combination of the filter columns, and that small result per
+    A spec with dates that are not plain dates gets an error and the count 0. The view, or the stored feedback cube, is counted per combination of the filter columns, and that small result per
     subset of them (grouping sets). An absent filter then is part of the join key: the pattern of
     absent filters and the given values. A dated spec is the difference of two running sums
     over daily counts, so the length of its range costs nothing.
@@ -135,17 +133,22 @@ def count_specs(view: DataFrame, specs: DataFrame) -> DataFrame:
     keys = ["pattern", *[f"k{i}" for i in range(len(SPEC_FILTERS))]]
     signed = specs.select(
         "spec_id", _pattern(SPEC_FILTERS).alias("pattern"), *_keys(SPEC_FILTERS),
-        F.nullif("date_start", F.lit("")).cast("date").alias("s"), F.nullif("date_end", F.lit("")).cast("date").alias("e"),
+        plain_date(F.col("date_start")).alias("s"), plain_date(F.col("date_end")).alias("e"), bad_dates(F.col("date_start"), F.col("date_end")).alias("bad"),
+        F.format_string(tx.BAD_DATES_FORMAT, "date_start", "date_end").alias("problem"),
     )
+    rejected = signed.where("bad").select("spec_id", F.lit(0).cast("bigint").alias("count"), F.col("problem").alias("error"))
+    signed = signed.where("NOT bad")
     is_dated = F.col("s").isNotNull() & F.col("e").isNotNull()
-    daily = view.withColumns(
+    days = view.withColumnRenamed("review_day", "day") if "review_day" in view.columns else view.withColumns(
         {"day": F.col("review_date").cast("date"), "at_midnight": is_midnight(F.col("review_date"))}
-    ).groupBy(*SPEC_FILTERS, "day", "at_midnight").agg(rows_in(view).alias("c"))
+    )
+    daily = days.groupBy(*SPEC_FILTERS, "day", "at_midnight").agg(rows_in(view).alias("c"))
     daily = stored(daily, "daily")
 
     whole = daily.groupBy(*SPEC_FILTERS).agg(F.sum("c").alias("c")).cube(*SPEC_FILTERS).agg(
         F.grouping_id().alias("pattern"), F.sum("c").alias("count")
     ).select("pattern", *_keys(SPEC_FILTERS), "count")
+    whole = stored(whole, "whole")  # with a size, so it is broadcast when small and few patterns don't gather all specs
     undated = signed.where(~is_dated).join(whole, keys, "left").select("spec_id", F.coalesce("count", F.lit(0)).alias("count"))
 
     # Order of events within a day: start edge, midnight rows, end edge, later rows.
@@ -174,4 +177,5 @@ def count_specs(view: DataFrame, specs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("step") == 2, F.col("upto")).otherwise(-F.col("upto"))).alias("count")
     )
     reversed_dates = signed.where(is_dated & (F.col("s") > F.col("e"))).select("spec_id", F.lit(0).cast("bigint").alias("count"))
-    return undated.unionByName(ranged).unionByName(reversed_dates)
+    counted = undated.unionByName(ranged).unionByName(reversed_dates)
+    return counted.withColumn("error", F.lit(None).cast("string")).unionByName(rejected)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voc_spark import taxonomy as tx
-from voc_spark.functions.times import is_midnight
+from voc_spark.functions.times import bad_dates, is_midnight, plain_date
 from voc_spark.operators.profile import coverage
 from voc_spark.sources.parquet import stored
 
@@ -18,15 +18,17 @@ STAT_KEYS = {
 
 
 def date_range_overlap(windows: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Adds is_valid and message: a window is invalid iff it ends before or starts after all dated reviews."""
+    """Adds is_valid and message: a window is invalid iff it ends before or starts after all dated reviews, or is no pair of dates."""
     cover = coverage(reviews).select(F.struct("date_min", "date_max").alias("c")).scalar()
     lo, hi = F.col("c.date_min"), F.col("c.date_max")
-    start, end = F.col("date_start").cast("timestamp_ntz"), F.col("date_end").cast("timestamp_ntz")
+    start, end = (plain_date(F.col(c)).cast("timestamp_ntz") for c in ("date_start", "date_end"))
     valid = F.coalesce((end >= lo) & (start <= hi), F.lit(False))
     day = lambda ts: F.coalesce(ts.cast("date").cast("string"), F.lit("none"))
     checked = windows.withColumn("c", cover).withColumn("is_valid", valid)
     return checked.withColumn(
-        "message", F.when(~F.col("is_valid"), F.format_string(tx.OUT_OF_RANGE_FORMAT, day(lo), day(hi)))
+        "message",
+        F.when(bad_dates(F.col("date_start"), F.col("date_end")), F.format_string(tx.BAD_DATES_FORMAT, "date_start", "date_end"))
+        .when(~F.col("is_valid"), F.format_string(tx.OUT_OF_RANGE_FORMAT, day(lo), day(hi))),
     ).drop("c")
 
 
@@ -44,9 +46,9 @@ def daily_marginals(view: DataFrame) -> DataFrame:
     weight = F.col("n") if "n" in view.columns else F.lit(1).cast("bigint")
     entry = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("value"))
     complaint = F.when(F.col("feedback_category").isin(tx.COMPLAINTS), F.col("product_category"))
-    # With days in the key, combinations of all dimensions would hardly be fewer than the rows;
-    # single values are, so each task sends a few rows per day.
-    spread = dated.where("day IS NOT NULL").select("day", "at_midnight", weight.alias("c"), F.inline(F.array(
+    # Combinations of the dimensions and days are bounded whatever the number of rows; only they are spread over single values.
+    cells = dated.where("day IS NOT NULL").groupBy(*tx.FILTER_DIMENSIONS, "day", "at_midnight").agg(F.sum(weight).alias("c"))
+    spread = cells.select("day", "at_midnight", "c", F.inline(F.array(
         *[entry(d, F.col(d)) for d in tx.FILTER_DIMENSIONS],
         entry(COMPLAINT_DIMENSION, complaint), entry("total", F.lit("all")),
     )))
@@ -55,32 +57,31 @@ def daily_marginals(view: DataFrame) -> DataFrame:
     )
 
 
-def running_marginals(daily: DataFrame) -> DataFrame:
-    """For every (dimension, value) and calendar day: rows before the day, and rows up to its midnight.
+def running_marginals(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """For every (dimension, value) and asked day (`days`, distinct): rows before the day, and rows up to its midnight.
 
-    One day past the last closes the table. A series has one entry per covered day.
+    A series has one entry per day with rows and per asked day: no calendar, so a stray date far away costs one row.
     """
-    span = daily.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi")).alias("c")).scalar()
-    calendar = daily.select("dimension", "value").distinct().withColumn("c", span).select(
-        "dimension", "value", F.explode(F.sequence(F.col("c.lo"), F.date_add(F.col("c.hi"), 1))).alias("day")
-    )
-    dense = calendar.join(daily, ["dimension", "value", "day"], "left")
+    asked = days.agg(F.collect_set("day").alias("asked")).select("asked").scalar()
+    edges = daily.select("dimension", "value").distinct().select("dimension", "value", F.explode(asked).alias("day"))
+    events = daily.withColumn("edge", F.lit(False)).unionByName(
+        edges.select("*", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("midnight_rows"), F.lit(True).alias("edge")))
+    merged = events.groupBy("dimension", "value", "day").agg(
+        F.sum("rows").alias("rows"), F.sum("midnight_rows").alias("midnight_rows"), F.max("edge").alias("edge"))
     earlier = Window.partitionBy("dimension", "value").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("rows").over(earlier), F.lit(0))
-    return dense.select(
-        "dimension", "value", "day", before.alias("before"),
-        (before + F.coalesce("midnight_rows", F.lit(0))).alias("upto_midnight"),
-    )
+    running = merged.withColumn("before", before).where("edge")
+    return running.select("dimension", "value", "day", "before", (F.col("before") + F.col("midnight_rows")).alias("upto_midnight"))
 
 
-def daily_series(daily: DataFrame) -> DataFrame:
-    """One row per calendar day: the running totals of all values, in the same order every day.
+def daily_series(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """One row per asked day: the running totals of all values, in the same order every day.
 
     An entry per distinct label and product category, however many rows the facts have.
     """
     entry = F.struct("dimension", "value", "before", "upto_midnight")
     total = lambda c: F.max(F.when(F.col("dimension") == "total", F.col(c))).alias(f"total_{c}")
-    return running_marginals(daily).groupBy("day").agg(
+    return running_marginals(daily, days).groupBy("day").agg(
         total("before"), total("upto_midnight"), F.array_sort(F.collect_list(entry)).alias("series")
     )
 
@@ -88,20 +89,21 @@ def daily_series(daily: DataFrame) -> DataFrame:
 def window_profiles(view: DataFrame, windows: DataFrame, end_of_day: bool = False) -> DataFrame:
     """Adds to every window `total_reviews` and `counts`, an array of (dimension, value, count).
 
-    A window without rows has 0 and null. The joined rows are reduced once to daily counts,
-    stored, and turned into running totals, so a window is the difference between two days: two
-    equi-joins with a calendar, whatever its length.
+    A window without rows or without two plain dates has 0 and null. The counts per day, best from the
+    stored feedback cube, become running totals at the days that windows start and end on, so a window is the
+    difference between two days: two equi-joins, whatever its length.
     """
     daily = stored(daily_marginals(view), "daily")
-    days = stored(daily_series(daily), "series")
-    span = days.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("past")).alias("c")).scalar()
-    s, e = F.col("date_start").cast("date"), F.col("date_end").cast("date")
+    span = daily.agg(F.struct(F.min("day").alias("lo"), F.date_add(F.max("day"), 1).alias("past")).alias("c")).select("c").scalar()
+    s, e = plain_date(F.col("date_start")), plain_date(F.col("date_end"))
     lo, past = F.col("c.lo"), F.col("c.past")
     live = (s <= e) & (e >= lo) & (s < past)
     asked = windows.withColumn("c", span).withColumns({
         "_from": F.when(live, F.greatest(s, lo)),
         "_to": F.when(live, F.least(F.date_add(e, 1) if end_of_day else e, past)),
     })
+    edges = asked.select(F.explode(F.array("_from", "_to")).alias("day")).where("day IS NOT NULL").distinct()
+    days = stored(daily_series(daily, edges), "series")
     upto = "before" if end_of_day else "upto_midnight"
     first = days.select(F.col("day").alias("_from"), F.col("series").alias("_first"), F.col("total_before").alias("_earlier"))
     last = days.select(F.col("day").alias("_to"), F.col("series").alias("_last"), F.col(f"total_{upto}").alias("_upto"))

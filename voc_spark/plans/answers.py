@@ -1,7 +1,8 @@
 """One query spec to one lazy answer frame.
 
-Every answer has the columns (kind, explanation, position, label, value): a count has one
-row, a table or chart one per group, a looked-up review one per column, a message one with null label.
+Every answer has the columns (kind, explanation, position, label, value, note, chart_types): a count has one
+row, a table or chart one per group, a looked-up review one per column, a message one with null label. A summary is
+followed by its follow-up questions, one row each. Only charts have chart_types, and a note where a line was asked for.
 """
 
 from collections.abc import Callable, Mapping
@@ -9,13 +10,15 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voc_spark import taxonomy as tx
+from voc_spark.functions.times import is_plain_date
+from voc_spark.operators.chat import followup_questions
 from voc_spark.operators.counts import breakdown_query, chart_query, count_query
 from voc_spark.operators.joins import counting_view, lookup_pairs
 from voc_spark.operators.specs import chart_note, chart_types
 from voc_spark.plans.summaries import label_windows, window_summaries
 from voc_spark.functions.literal import literal_table
 
-ANSWER = ["kind", "explanation", "position", "label", "value"]
+ANSWER = ["kind", "explanation", "position", "label", "value", "note", "chart_types"]
 
 
 def _answer(df: DataFrame, kind: str, explanation: str | Column, position, label, value) -> DataFrame:
@@ -25,6 +28,7 @@ def _answer(df: DataFrame, kind: str, explanation: str | Column, position, label
     return df.select(
         F.lit(kind).alias("kind"), text.alias("explanation"), where.cast("int").alias("position"),
         as_text(label).alias("label"), as_text(value).alias("value"),
+        F.lit(None).cast("string").alias("note"), F.lit(None).cast("array<string>").alias("chart_types"),
     )
 
 
@@ -66,9 +70,8 @@ def _chart(reviews, classifications, spec):
         return message(reviews.sparkSession, tx.BAD_CHART_FORMAT % column)
     filters = {k: v for k, v in spec.items() if k in (*tx.FILTER_DIMENSIONS, "date_start", "date_end")}
     wanted = F.array(*map(F.lit, spec.get("chart_types") or [])).cast("array<string>")
-    explanation = F.concat_ws(" ", F.lit(spec["explanation"]), chart_note(wanted), F.concat(F.lit("["), F.array_join(chart_types(wanted), ", "), F.lit("]")))
-    rows = _rows(chart_query(counting_view(reviews, classifications), column, **filters), column, "chart", explanation)
-    return _or_message(rows, tx.NO_MATCH)
+    rows = _rows(chart_query(counting_view(reviews, classifications), column, **filters), column, "chart", spec["explanation"])
+    return _or_message(rows.withColumns({"note": chart_note(wanted), "chart_types": chart_types(wanted)}), tx.NO_MATCH)
 
 
 def _lookup(reviews, classifications, spec):
@@ -86,11 +89,14 @@ def _summary(reviews, classifications, spec):
     )
     done = window_summaries(reviews, classifications, label_windows(window))
     ok = F.col("success")
-    return done.select(
-        F.when(ok, "summary").otherwise("message").alias("kind"),
-        F.when(ok, F.lit(spec["explanation"])).otherwise(F.col("error")).alias("explanation"),
-        F.lit(0).alias("position"), F.when(ok, F.col("window_label")).alias("label"), F.col("narrative").alias("value"),
-    )
+    entry = lambda kind, at, label, value: F.struct(
+        F.lit(kind).alias("kind"), F.lit(spec["explanation"]).alias("explanation"), at.cast("int").alias("position"), label.cast("string").alias("label"), value.alias("value"))
+    questions = F.transform(followup_questions(F.lit(None).cast("string")), lambda q, i: entry("followup", i + 1, i + 1, q))
+    answer = F.concat(F.array(entry("summary", F.lit(0), F.col("window_label"), F.col("narrative"))), questions)
+    failed = F.array(F.struct(F.lit("message").alias("kind"), F.col("error").alias("explanation"), F.lit(0).alias("position"),
+                              F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value")))
+    return done.select(F.inline(F.when(ok, answer).otherwise(failed))).select(
+        "*", F.lit(None).cast("string").alias("note"), F.lit(None).cast("array<string>").alias("chart_types"))
 
 
 ROUTES: Mapping[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
@@ -99,7 +105,10 @@ ROUTES: Mapping[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {
 
 
 def run_spec(reviews: DataFrame, classifications: DataFrame, spec: dict) -> DataFrame:
-    """Answer one spec; an unknown query type gives its explanation as a message."""
+    """Answer one spec; an unknown query type gives its explanation as a message, dates that are none say so."""
+    start, end = spec.get("date_start"), spec.get("date_end")
+    if start and end and not (is_plain_date(start) and is_plain_date(end)):
+        return message(reviews.sparkSession, tx.BAD_DATES_FORMAT % (start, end))
     route = ROUTES.get(spec["query_type"])
     return route(reviews, classifications, spec) if route else message(reviews.sparkSession, spec["explanation"])
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voc_spark import taxonomy as tx
 from voc_spark.functions.times import epoch_ms_to_ts
 from voc_spark.operators import (
-    chat, classify, constraints, counts, filters, ingest, joins, prep, profile, sampling, specs, windows,
+    chat, classify, constraints, counts, filters, ingest, joins, prep, profile, questions, sampling, specs, windows,
 )
 from voc_spark.plans import answers, summaries
-from voc_spark.schemas import RAW_REVIEWS
+from voc_spark.schemas import RAW_REVIEWS, SUMMARIES, TABLES
 from voc_spark.session import fresh_dir
 from voc_spark.sources import demo_tables as demo
-from voc_spark.sources.parquet import scan_reviews, write_table
+from voc_spark.sources.parquet import init_tables as init_empty
+from voc_spark.sources.parquet import read_version, scan_reviews, write_table
 from voc_spark.streaming import ingest_classify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,8 @@ QUESTIONS = [
     {"spec_id": 5, "query_type": "breakdown", "breakdown_column": "rating", "explanation": "bad column"},
     {"spec_id": 6, "query_type": "lookup", "review_id": "no_such_review", "explanation": "find it"},
     {"spec_id": 7, "query_type": "unsupported", "explanation": "cannot be answered"},
+    {"spec_id": 8, "query_type": "summary", "date_start": "1997-01-01", "date_end": "1997-06-30", "explanation": "how was H1"},
+    {"spec_id": 9, "query_type": "count", "date_start": "1997-01-01", "date_end": "June", "explanation": "bad date"},
 ]
 
 
@@ -46,10 +49,6 @@ def _joined(spark: SparkSession, d: str) -> DataFrame:
     return joins.feedback_view(demo.reviews(spark, d), demo.classifications(spark, d))
 
 
-def _snapshot(spark: SparkSession, d: str, n: int = 1000) -> DataFrame:
-    return joins.latest_reviews(demo.reviews(spark, d), demo.classifications(spark, d), n)
-
-
 def _windowed(spark: SparkSession, d: str) -> DataFrame:
     raw = demo.raw_reviews(spark, d)
     return prep.windowed_reviews(raw, *demo.WINDOW, demo.Q1_END, labels=("Q1", "Q2"))
@@ -71,14 +70,15 @@ def _keyed_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 LABELS = ["review_id", "product_category", "feedback_category", "sentiment", "urgency"]
-SAMPLE_COLUMNS = ["review_id", "product_category", "rating", "review_date", "quarter", "l_orderkey", "l_linenumber"]
+SAMPLE_COLUMNS = [
+    "review_id", "asin", "user_id", "product_category", "product_title", "text", "rating", "timestamp", "review_date", "quarter",
+    "verified_purchase", "l_orderkey", "l_linenumber",
+]
 
 
 # --- sources and sinks -----------------------------------------------------
 def scan_reviews_parquet(spark, d):
-    return scan_reviews(spark, demo.table_path(spark, d, "raw_reviews"), RAW_REVIEWS).select(
-        "asin", "user_id", "timestamp", "rating", "product_category", "verified_purchase"
-    )
+    return scan_reviews(spark, demo.table_path(spark, d, "raw_reviews"), RAW_REVIEWS)
 
 
 def sink_sample_parquet(spark, d):
@@ -99,31 +99,53 @@ def insert_if_absent(spark, d):
     fresh = ingest.insert_if_absent(
         _keyed_raw(spark, d), target, order=["timestamp", "l_orderkey", "l_linenumber", "l_extendedprice"]
     )
-    return fresh.select("review_id", "product_category", "rating", "timestamp", "l_orderkey", "l_linenumber")
+    return fresh.select(
+        "review_id", "product_category", "product_title", "text", "rating", "timestamp", "verified_purchase", "l_orderkey", "l_linenumber")
 
 
 def append_classification(spark, d):
     return ingest.append_classification(demo.classifications(spark, d), demo.reviews(spark, d))
 
 
-def _old_summaries(spark, d):
-    totals = demo.reviews(spark, d).where("review_date IS NOT NULL").groupBy("product_category").agg(
-        F.count(F.lit(1)).alias("total_reviews")
-    )
-    return totals.select(F.col("product_category").alias("window_label"), "total_reviews", F.lit("old").alias("narrative"))
+def init_tables(spark, d):
+    """Empty tables, filled from the stored reviews and labels, and audited by their own rules."""
+    paths = init_empty(spark, fresh_dir(spark, "tables"))
+    ingest.stamp_ingested(demo.reviews(spark, d)).write.mode("append").parquet(paths["reviews"])
+    demo.classifications(spark, d).write.mode("append").parquet(paths["classifications"])
+    found = None
+    for name, schema in TABLES.items():
+        part = constraints.audit_table(spark.read.schema(schema).parquet(paths[name]), name).select(F.lit(name).alias("table"), "rule", "violations")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _stored_summaries(spark, d):
+    """A summaries table with one stored version: the report windows and one window per order."""
+    root = fresh_dir(spark, "summaries")
+    summaries.run_summaries(spark, root, demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d), view=demo.cube(spark, d))
+    return root
+
+
+SUMMARY_COLUMNS = ["window_label", "date_start", "date_end", "total_reviews", "stats", "narrative"]
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    days = {c: F.col(c).cast("string") for c in ("date_start", "date_end")}
+    return df.withColumns(days).select(*SUMMARY_COLUMNS, F.col("generated_at").isNotNull().alias("stamped"))
 
 
 def upsert_summary(spark, d):
-    incoming = _old_summaries(spark, d).where("window_label < 'M'").withColumn("narrative", F.lit("new"))
-    extra = windows.window_counts(_view(spark, d), demo.windows(spark)).where("dimension = 'total'").select(
-        "window_label", F.col("count").alias("total_reviews"), F.lit("new").alias("narrative")
-    )
-    return ingest.upsert(incoming.unionByName(extra), _old_summaries(spark, d))
+    """A second version over the first: part of the labels again, each twice; the row with more reviews wins."""
+    root = _stored_summaries(spark, d)
+    again = read_version(spark, root, SUMMARIES).where("window_label < 'w3'").select(*SUMMARY_COLUMNS)
+    twice = again.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    revised = twice.withColumn("total_reviews", F.col("total_reviews") + F.col("k")).withColumn("narrative", F.concat(F.lit("revised "), F.col("k"))).drop("k")
+    ingest.upsert_summaries(spark, root, revised)
+    return _shown(read_version(spark, root, SUMMARIES))
 
 
 def get_stored_summary(spark, d):
-    done = summaries.window_summaries(demo.reviews(spark, d), demo.classifications(spark, d), demo.windows(spark))
-    return ingest.stored_summary(done.where("success"), "Q2 1998").select("window_label", "date_start", "date_end", "total_reviews", "narrative")
+    return _shown(ingest.stored_summary(read_version(spark, _stored_summaries(spark, d), SUMMARIES), "Q2 1998"))
 
 
 def table_preview(spark, d):
@@ -187,7 +209,7 @@ def filter_date_between(spark, d):
 
 def filter_multi_select(spark, d):
     return filters.filter_multi_select(
-        _snapshot(spark, d), product_category=["ECONOMY", "LARGE"], sentiment=["Negative", "Neutral"], urgency=[]
+        _joined(spark, d), product_category=["ECONOMY", "LARGE"], sentiment=["Negative", "Neutral"], urgency=[]
     ).select(*LABELS)
 
 
@@ -197,7 +219,7 @@ def date_range_overlap(spark, d):
 
 def lookup_review(spark, d):
     spec = {"query_type": "lookup", "review_id": LOOKUP_ID, "explanation": "lookup"}
-    return answers.run_spec(demo.reviews(spark, d), demo.classifications(spark, d), spec)
+    return answers.run_spec(demo.reviews(spark, d), demo.classifications(spark, d), spec).drop("note", "chart_types")
 
 
 # --- joins -----------------------------------------------------------------
@@ -206,7 +228,7 @@ def feedback_view(spark, d):
 
 
 def latest_reviews(spark, d):
-    return _snapshot(spark, d, 1500)
+    return joins.latest_reviews(demo.reviews(spark, d), demo.classifications(spark, d), 1500)
 
 
 def pending_reviews(spark, d):
@@ -218,7 +240,7 @@ def latest_classification(spark, d):
 
 
 def batch_specs_count(spark, d):
-    return specs.count_specs(_view(spark, d), demo.spec_requests(spark, d))
+    return specs.count_specs(demo.cube(spark, d), demo.spec_requests(spark, d))
 
 
 def spec_list_count(spark, d):
@@ -226,7 +248,7 @@ def spec_list_count(spark, d):
 
 
 def window_stats_many(spark, d):
-    return windows.window_counts(_view(spark, d), _all_windows(spark, d))
+    return windows.window_counts(demo.cube(spark, d), _all_windows(spark, d))
 
 
 # --- aggregates ------------------------------------------------------------
@@ -247,11 +269,15 @@ def chart_query(spark, d):
 
 
 def aggregated_stats(spark, d):
-    return counts.aggregated_stats(_snapshot(spark, d), sentiment="Negative")
+    return counts.aggregated_stats(_view(spark, d), sentiment="Negative")
+
+
+def drilldown_rows(spark, d):
+    return counts.filtered_rows(_joined(spark, d), sentiment="Negative", urgency="High")
 
 
 def top_themes(spark, d):
-    return counts.top_themes(_snapshot(spark, d), 5, sentiment="Negative")
+    return counts.top_themes(_view(spark, d), 5, sentiment="Negative")
 
 
 def window_stats(spark, d):
@@ -259,7 +285,7 @@ def window_stats(spark, d):
 
 
 def dashboard_charts(spark, d):
-    return counts.dashboard_charts(filters.filter_multi_select(_snapshot(spark, d), urgency=["High", "Low"]))
+    return counts.dashboard_charts(filters.filter_multi_select(_view(spark, d), urgency=["High", "Low"]))
 
 
 def coverage(spark, d):
@@ -297,7 +323,7 @@ def normalize_chart_types(spark, d):
 
 
 def run_spec(spark, d):
-    return answers.run_specs(demo.reviews(spark, d), demo.classifications(spark, d), QUESTIONS)
+    return answers.run_specs(demo.reviews(spark, d), demo.classifications(spark, d), QUESTIONS).withColumn("chart_types", F.array_join("chart_types", ","))
 
 
 # --- text, labels, narratives ----------------------------------------------
@@ -323,6 +349,8 @@ class DemoModel:
         self.seen.add(text)
         if kind == 1 and first_time:
             return None
+        if kind == 5:
+            raise ConnectionError("no answer to this text")
         if kind == 0:
             return '{"feedback_category": "Not As'
         category = {2: "No such category", 3: tx.COMPLAINTS[0], 4: tx.PRAISE}.get(kind, tx.NO_CONTEXT)
@@ -356,17 +384,17 @@ def reprocess_queue(spark, d):
 
 
 def window_narrative(spark, d):
-    profiles = windows.window_profiles(_view(spark, d), _all_windows(spark, d))
+    profiles = windows.window_profiles(demo.cube(spark, d), _all_windows(spark, d))
     return windows.with_narrative(profiles.where("total_reviews > 0")).select("window_label", "narrative")
 
 
 def window_summary_job(spark, d):
-    done = summaries.window_summaries(demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d))
-    return done.drop("stats", "narrative")
+    return summaries.window_summaries(
+        demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d), view=demo.cube(spark, d))
 
 
 def stats_json(spark, d):
-    profiles = windows.window_profiles(_view(spark, d), _all_windows(spark, d)).where("total_reviews > 0")
+    profiles = windows.window_profiles(demo.cube(spark, d), _all_windows(spark, d)).where("total_reviews > 0")
     return windows.parse_stats(profiles.select("window_label", windows.stats_json().alias("stats")))
 
 
@@ -378,6 +406,29 @@ def context_window(spark, d):
     return chat.context_window(demo.source(spark, d, "conversations"), 3)
 
 
+def parse_spec_json(spark, d):
+    parsed = questions.parse_spec_json(demo.spec_answers(spark, d)).drop("raw_json")
+    return parsed.withColumn("chart_types", F.array_join("chart_types", ","))
+
+
+def query_prompts(spark, d):
+    schema = profile.coverage(demo.reviews(spark, d)).select(F.concat(F.lit("rows "), F.col("row_count").cast("string")).alias("s")).scalar()
+    prompts = questions.query_prompts(demo.source(spark, d, "conversations"), schema)
+    return prompts.select("conv_id", F.size("messages").alias("n_messages"), F.md5(_joined_messages()).alias("prompt_md5"))
+
+
+def _joined_messages():
+    return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("~"), m["content"])), "|")
+
+
+def summary_prompts(spark, d):
+    profiles = windows.window_profiles(demo.cube(spark, d), _all_windows(spark, d))
+    asked = questions.summary_prompts(profiles).select("window_label", F.lit("summary").alias("task"), "messages")
+    done = summaries.window_summaries(demo.reviews(spark, d), demo.classifications(spark, d), _all_windows(spark, d), view=demo.cube(spark, d))
+    more = questions.followup_prompts(done.where("success")).select("window_label", F.lit("followups").alias("task"), "messages")
+    return asked.unionByName(more).select("window_label", "task", F.md5(_joined_messages()).alias("prompt_md5"))
+
+
 def parse_followups(spark, d):
     return chat.parse_followups(demo.followup_texts(spark, d))
 
@@ -395,9 +446,9 @@ def stream_ingest_classify(spark, d):
         spark, source, schema, root, prepare, classify.classify_rules,
         ["timestamp", "l_orderkey", "l_linenumber", "l_extendedprice"], files_per_batch=4,
     ).awaitTermination()
-    stored = ingest_classify.read_table(spark, root, "reviews").groupBy("review_id").agg(F.count(F.lit(1)).alias("stored"))
-    labels = ingest_classify.read_table(spark, root, "classifications").groupBy("review_id").agg(F.count(F.lit(1)).alias("labelled"))
-    return stored.join(labels, "review_id", "full")
+    stored = ingest_classify.read_table(spark, root, "reviews").select("review_id", "product_category", "rating", "review_date", F.md5("review_text").alias("text_md5"))
+    labels = ingest_classify.read_table(spark, root, "classifications").select(F.col("review_id").alias("labelled_id"), *classify.FIELDS)
+    return stored.join(labels, stored["review_id"] == labels["labelled_id"], "full")
 
 
 QUERIES: dict[str, Query] = {
@@ -409,6 +460,7 @@ QUERIES: dict[str, Query] = {
     "append_classification": append_classification,
     "upsert_summary": upsert_summary,
     "get_stored_summary": get_stored_summary,
+    "init_tables": init_tables,
     "table_preview": table_preview,
     "epoch_ms_to_ts": epoch_ms_to_ts_query,
     "window_filter": window_filter,
@@ -437,6 +489,7 @@ QUERIES: dict[str, Query] = {
     "breakdown_query": breakdown_query,
     "chart_query": chart_query,
     "aggregated_stats": aggregated_stats,
+    "drilldown_rows": drilldown_rows,
     "top_themes": top_themes,
     "window_stats": window_stats,
     "dashboard_charts": dashboard_charts,
@@ -458,6 +511,9 @@ QUERIES: dict[str, Query] = {
     "window_narrative": window_narrative,
     "window_summary_job": window_summary_job,
     "stats_json": stats_json,
+    "parse_spec_json": parse_spec_json,
+    "query_prompts": query_prompts,
+    "summary_prompts": summary_prompts,
     "parse_followups": parse_followups,
     "classification_agreement": classification_agreement,
     "stream_ingest_classify": stream_ingest_classify,

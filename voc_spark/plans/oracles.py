@@ -2,8 +2,11 @@
 
 from voc_spark import taxonomy as tx
 from voc_spark.functions import text as words
+from voc_spark.operators import questions
 from voc_spark.operators.classify import few_shot_messages
+from voc_spark.operators.windows import STAT_KEYS
 from voc_spark.plans.catalog import LOOKUP_ID, QUESTIONS
+from voc_spark.schemas import required_columns
 from voc_spark.sources import demo_tables as demo
 
 
@@ -69,10 +72,24 @@ report_windows AS (
     AS t(window_label, date_start, date_end)),
 all_windows AS (
   SELECT * FROM report_windows UNION ALL
-  SELECT 'w' || o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR),
+  SELECT 'w' || o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN '1997-13-01' WHEN o_orderkey % 97 = 0 THEN CAST(o_orderdate AS DATE) || ' 12:00:00'
+           ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END,
          CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 120 - 10 AS INT) AS VARCHAR) FROM orders)"""
 
 
+def plain(c: str) -> str:
+    return f"CASE WHEN regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({c} AS DATE) END"
+
+
+def bad_dates(a: str, b: str) -> str:
+    return f"({a} IS NOT NULL AND {b} IS NOT NULL AND ({plain(a)} IS NULL OR {plain(b)} IS NULL))"
+
+
+def bad_message(a: str, b: str) -> str:
+    x, y, z = tx.BAD_DATES_FORMAT.split("%s")
+    return f"{q(x)} || {a} || {q(y)} || {b} || {q(z)}"
+
+
 def spec_pick(modulus: int, values) -> str:
     return nth(f"o_orderkey // {modulus}", values)
 
@@ -87,7 +104,8 @@ specs AS (
          CASE WHEN k % 2 = 0 THEN {spec_pick(2, ["Negative", "Positive", "Mixed"])} END AS sentiment,
          CASE WHEN k % 8 = 3 THEN {spec_pick(8, ["High", "Low", "Urgent"])} END AS urgency,
          CASE WHEN k % 9 = 0 THEN (k // 9) % 2 = 0 END AS verified_purchase,
-         CASE WHEN k % 17 <> 0 THEN CAST(CASE WHEN k % 7 = 0 THEN d + 60 WHEN k % 11 = 0 THEN d - 4000 ELSE d END AS VARCHAR) END AS date_start,
+         CASE WHEN k % 83 = 0 THEN 'soon' WHEN k % 79 = 0 THEN (CASE WHEN k % 7 = 0 THEN d + 60 WHEN k % 11 = 0 THEN d - 4000 ELSE d END) || ' 12:00'
+              WHEN k % 17 <> 0 THEN CAST(CASE WHEN k % 7 = 0 THEN d + 60 WHEN k % 11 = 0 THEN d - 4000 ELSE d END AS VARCHAR) END AS date_start,
          CASE WHEN k % 19 <> 0 THEN CAST(CASE WHEN k % 13 = 0 THEN d + 4000 ELSE d + CAST(k % 50 AS INT) END AS VARCHAR) END AS date_end,
          'request ' || k AS explanation,
          string_split({nth("k", ["bar", "line,bar", "pie,pie", "line,line,pie", "scatter", "bar,radar,bar", ""])}, ',') AS chart_types
@@ -145,7 +163,7 @@ def window_counts(windows: str) -> str:
     )
     return f"""
 cells AS (SELECT window_label, {dims}, count(*) AS n FROM joined j JOIN {windows} w
-  ON j.review_date BETWEEN CAST(w.date_start AS TIMESTAMP) AND CAST(w.date_end AS TIMESTAMP) GROUP BY ALL),
+  ON j.review_date BETWEEN CAST({plain("w.date_start")} AS TIMESTAMP) AND CAST({plain("w.date_end")} AS TIMESTAMP) GROUP BY ALL),
 counts AS (SELECT window_label, dimension, value, CAST(n AS BIGINT) AS count FROM ({" UNION ALL ".join(parts)}) u)"""
 
 
@@ -167,17 +185,27 @@ narratives AS (
     negative || ' are negative (' || (negative * 100 // total) || '%) and ' || high || ' are of high urgency.',
     coalesce('Start with ' || driver || ' in ' || worst || '.', 'No complaint stands out.')) AS narrative FROM facts)"""
 
-OVERLAP = """
-overlap AS (
-  SELECT w.*, CAST(date_end AS TIMESTAMP) >= lo AND CAST(date_start AS TIMESTAMP) <= hi AS is_valid, lo, hi
-  FROM all_windows w, cover)"""
-
-
 def out_of_range(lo: str, hi: str) -> str:
     a, b, c = tx.OUT_OF_RANGE_FORMAT.split("%s")
     return f"{q(a)} || CAST({lo} AS DATE) || {q(b)} || CAST({hi} AS DATE) || {q(c)}"
 
 
+OVERLAP = f"""
+overlap AS (
+  SELECT w.*, is_valid, CASE WHEN {bad_dates("date_start", "date_end")} THEN {bad_message("date_start", "date_end")}
+    WHEN NOT is_valid THEN {out_of_range("lo", "hi")} END AS message
+  FROM (SELECT *, coalesce({plain("date_end")} >= lo AND {plain("date_start")} <= hi, false) AS is_valid FROM all_windows, cover) w)"""
+
+_ENTRIES = lambda d: f"coalesce(string_agg('\"' || value || '\":' || count, ',' ORDER BY value) FILTER (dimension = '{d}'), '')"
+JSONS = f"""
+jsons AS (SELECT window_label, '{{"total_count":' || max(count) FILTER (dimension = 'total') || ',"category_counts":{{' || {_ENTRIES("feedback_category")}
+  || '}},"sentiment_counts":{{' || {_ENTRIES("sentiment")} || '}},"urgency_counts":{{' || {_ENTRIES("urgency")}
+  || '}},"product_category_counts":{{' || {_ENTRIES("product_category")} || '}}}}' AS stats FROM counts GROUP BY 1)"""
+SUMMARIES = """
+summaries AS (SELECT window_label, date_start, date_end, count AS total_reviews, stats, narrative, true AS stamped
+  FROM all_windows JOIN counts USING (window_label) JOIN narratives USING (window_label) JOIN jsons USING (window_label) WHERE dimension = 'total')"""
+
+
 def rules(table: str) -> str:
     """The word-list rules over `table`, as CTE `labelled`."""
     # Words two blanks apart, so that each match owns the blanks around it.
@@ -212,34 +240,39 @@ labelled AS (SELECT *, CASE WHEN pos AND NOT neg THEN 'Positive' WHEN neg OR {co
 
 
 LABELS = "review_id, product_category, feedback_category, sentiment, urgency"
-SAMPLE_COLUMNS = "review_id, product_category, rating, review_date, quarter, l_orderkey, l_linenumber"
+SAMPLE_COLUMNS = (
+    "review_id, asin, user_id, product_category, product_title, review_text AS text, rating, \"timestamp\", review_date, quarter,"
+    " verified_purchase, l_orderkey, l_linenumber")
 WINDOW_FILTER = f"ts BETWEEN TIMESTAMP '{demo.WINDOW[0]}' AND TIMESTAMP '{demo.WINDOW[1]}'"
 DATE_FILTER = f"review_date BETWEEN TIMESTAMP '{demo.WINDOW[0]}' AND TIMESTAMP '{demo.WINDOW[1]}'"
 
 
 def _sources() -> dict[str, str]:
-    old = "old AS (SELECT product_category AS window_label, count(*) AS total_reviews FROM reviews WHERE review_date IS NOT NULL GROUP BY 1)"
     return {
-        "scan_reviews_parquet": with_base('SELECT asin, user_id, "timestamp", rating, product_category, verified_purchase FROM raw'),
+        "scan_reviews_parquet": with_base(
+            'SELECT "timestamp", rating, asin, user_id, product_category, review_text AS text, product_title, verified_purchase FROM raw'),
         "sink_sample_parquet": with_base(f"SELECT {SAMPLE_COLUMNS} FROM sample", SAMPLE),
         "ingest_project": with_base(
             "SELECT review_id, product_category, product_title, review_text, rating, ts AS review_date,"
             f" CASE WHEN ts <= TIMESTAMP '{demo.Q1_END}' THEN 'Q1' ELSE 'Q2' END AS quarter, verified_purchase FROM raw"),
         "review_key": with_base("SELECT l_orderkey, l_linenumber, review_id FROM raw"),
         "insert_if_absent": with_base(
-            "SELECT review_id, product_category, rating, epoch_ms(review_ts) AS \"timestamp\", l_orderkey, l_linenumber"
-            " FROM reviews WHERE quarter <> 'Q1'"),
+            "SELECT review_id, product_category, product_title, review_text AS text, rating, epoch_ms(review_ts) AS \"timestamp\","
+            " verified_purchase, l_orderkey, l_linenumber FROM reviews WHERE quarter <> 'Q1'"),
         "append_classification": with_base(
             "SELECT * FROM classifications WHERE review_id IN (SELECT review_id FROM reviews)"),
         "upsert_summary": with_base(
-            "SELECT window_label, total_reviews, CASE WHEN window_label < 'M' THEN 'new' ELSE 'old' END AS narrative FROM old"
-            " UNION ALL SELECT window_label, count, 'new' FROM counts WHERE dimension = 'total'",
-            WINDOWS, window_counts("report_windows"), old),
+            "SELECT window_label, date_start, date_end, total_reviews + CASE WHEN window_label < 'w3' THEN 2 ELSE 0 END AS total_reviews, stats,"
+            " CASE WHEN window_label < 'w3' THEN 'revised 2' ELSE narrative END AS narrative, stamped FROM summaries",
+            WINDOWS, window_counts("all_windows"), NARRATIVE, JSONS, SUMMARIES),
         "get_stored_summary": with_base(
-            "SELECT window_label, date_start, date_end, count AS total_reviews, narrative FROM report_windows"
-            " JOIN counts USING (window_label) JOIN narratives USING (window_label)"
-            " WHERE dimension = 'total' AND window_label = 'Q2 1998'",
-            WINDOWS, window_counts("report_windows"), NARRATIVE),
+            "SELECT * FROM summaries WHERE window_label = 'Q2 1998'", WINDOWS, window_counts("all_windows"), NARRATIVE, JSONS, SUMMARIES),
+        "init_tables": with_base(
+            " UNION ALL ".join(
+                [f"SELECT 'reviews' AS \"table\", '{c} is not null' AS rule, count(*) FILTER ({c} IS NULL) AS violations FROM reviews" for c in required_columns("reviews")]
+                + ["SELECT 'reviews', 'review_id is unique', count(review_id) - count(DISTINCT review_id) FROM reviews"]
+                + [f"SELECT 'classifications', '{c} is not null', count(*) FILTER ({c} IS NULL) FROM classifications" for c in required_columns("classifications")]
+                + [f"SELECT 'summaries', '{c} is not null', 0" for c in required_columns("summaries")] + ["SELECT 'summaries', 'window_label is unique', 0"])),
         "table_preview": with_base(
             "SELECT " + ", ".join(
                 f"substr(CAST({c} AS VARCHAR), 1, 80) AS {c}" for c in
@@ -298,10 +331,10 @@ def _filters() -> dict[str, str]:
         "filter_verified": with_base(f"SELECT {LABELS}, verified_purchase FROM joined WHERE NOT verified_purchase"),
         "filter_date_between": with_base(f"SELECT {LABELS}, review_date FROM joined WHERE {DATE_FILTER}"),
         "filter_multi_select": with_base(
-            f"SELECT {LABELS} FROM snapshot WHERE product_category IN ('ECONOMY', 'LARGE') AND sentiment IN ('Negative', 'Neutral')",
-            snapshot(1000)),
+            f"SELECT {LABELS} FROM joined WHERE product_category IN ('ECONOMY', 'LARGE') AND sentiment IN ('Negative', 'Neutral')"),
+        "drilldown_rows": with_base("SELECT * FROM joined WHERE sentiment = 'Negative' AND urgency = 'High'"),
         "date_range_overlap": with_base(
-            f"SELECT window_label, date_start, date_end, is_valid, CASE WHEN NOT is_valid THEN {out_of_range('lo', 'hi')} END AS message FROM overlap",
+            "SELECT window_label, date_start, date_end, is_valid, message FROM overlap",
             WINDOWS, OVERLAP),
         "lookup_review": with_base(
             f"""SELECT 'keyvalue' AS kind, 'lookup' AS explanation, CAST(unnest({list(range(len(pairs)))}) AS INT) AS position,
@@ -324,9 +357,11 @@ def _joins() -> dict[str, str]:
             "SELECT review_id, feedback_category, sentiment, urgency, reasoning, classified_at FROM classifications"
             " QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY classified_at DESC) = 1"),
         "batch_specs_count": with_base(
-            f"""SELECT s.spec_id, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS count FROM specs s LEFT JOIN facts f
-  ON {count_match} AND (NOT ({dated}) OR (f.day BETWEEN CAST(s.date_start AS DATE) AND CAST(s.date_end AS DATE)
-     AND (f.day < CAST(s.date_end AS DATE) OR f.mid))) GROUP BY 1""",
+            f"""SELECT s.spec_id, CASE WHEN any_value({bad_dates("s.date_start", "s.date_end")}) THEN 0 ELSE CAST(coalesce(sum(f.n), 0) AS BIGINT) END AS count,
+  any_value(CASE WHEN {bad_dates("s.date_start", "s.date_end")} THEN {bad_message("s.date_start", "s.date_end")} END) AS error
+FROM specs s LEFT JOIN facts f
+  ON {count_match} AND (NOT ({dated}) OR (f.day BETWEEN {plain("s.date_start")} AND {plain("s.date_end")}
+     AND (f.day < {plain("s.date_end")} OR f.mid))) GROUP BY 1""",
             SPECS,
             "facts AS (SELECT product_category, feedback_category, sentiment, urgency, verified_purchase,"
             " CAST(review_date AS DATE) AS day, review_date = date_trunc('day', review_date) AS mid, count(*) AS n FROM joined GROUP BY ALL)"),
@@ -360,10 +395,10 @@ def _counts() -> dict[str, str]:
         "chart_query": with_base(
             f"SELECT coalesce(feedback_category, 'null') AS feedback_category, count(*) AS count FROM joined WHERE {DATE_FILTER} GROUP BY 1"),
         "aggregated_stats": with_base(
-            marginals("picked"), snapshot(1000), "picked AS (SELECT * FROM snapshot WHERE sentiment = 'Negative')"),
+            marginals("picked"), "picked AS (SELECT * FROM joined WHERE sentiment = 'Negative')"),
         "top_themes": with_base(
-            "SELECT feedback_category, count(*) AS count FROM snapshot WHERE sentiment = 'Negative' AND feedback_category IS NOT NULL"
-            " GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", snapshot(1000)),
+            "SELECT feedback_category, count(*) AS count FROM joined WHERE sentiment = 'Negative' AND feedback_category IS NOT NULL"
+            " GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
         "window_stats": with_base(marginals("picked"), f"picked AS (SELECT * FROM joined WHERE {DATE_FILTER})"),
         "dashboard_charts": with_base(
             f"""SELECT CASE dimension WHEN 'total' THEN 'banner' ELSE dimension END AS dimension,
@@ -371,7 +406,7 @@ def _counts() -> dict[str, str]:
     row_number() OVER (PARTITION BY dimension ORDER BY count DESC, value) END AS INT) AS position,
   CASE dimension WHEN 'total' THEN {q(before)} || count || {q(after)} ELSE value END AS value, count
 FROM ({marginals("picked")}) m""",
-            snapshot(1000), "picked AS (SELECT * FROM snapshot WHERE urgency IN ('High', 'Low'))"),
+            "picked AS (SELECT * FROM joined WHERE urgency IN ('High', 'Low'))"),
         "coverage": with_base("SELECT row_count, lo AS date_min, hi AS date_max FROM cover"),
         "distinct_values": with_base(facets),
         "schema_profile": with_base(
@@ -400,7 +435,7 @@ FROM (SELECT *, CASE WHEN outside THEN s ELSE greatest(s, lo) END AS s2, CASE WH
   FROM (SELECT *, coalesce(e < lo OR s > hi, false) AS outside
     FROM (SELECT *, CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL THEN least(d1, d2) END AS s,
                  CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL THEN greatest(d1, d2) END AS e
-      FROM (SELECT specs.*, CAST(date_start AS DATE) AS d1, CAST(date_end AS DATE) AS d2, CAST(lo AS DATE) AS lo, CAST(hi AS DATE) AS hi
+      FROM (SELECT specs.*, {plain("date_start")} AS d1, {plain("date_end")} AS d2, CAST(lo AS DATE) AS lo, CAST(hi AS DATE) AS hi
             FROM specs, cover) a) b) c) d""", SPECS),
         "validate_specs": with_base(
             " UNION ALL ".join(
@@ -419,20 +454,40 @@ FROM (SELECT *, CASE WHEN outside THEN s ELSE greatest(s, lo) END AS s2, CASE WH
 FROM (SELECT spec_id, {types} AS t, list_transform({types}, lambda x: CASE x WHEN 'line' THEN 'bar' ELSE x END) AS replace_line FROM specs) s""",
             SPECS),
         "run_spec": with_base(
-            f"""SELECT 1 AS spec_id, 'count' AS kind, {kind[0]} AS explanation, 0 AS position, 'count' AS label, CAST(count(*) AS VARCHAR) AS value
+            f"""SELECT 1 AS spec_id, 'count' AS kind, {kind[0]} AS explanation, 0 AS position, 'count' AS label, CAST(count(*) AS VARCHAR) AS value,
+  NULL AS note, NULL AS chart_types
 FROM joined WHERE sentiment = 'Negative' AND {DATE_FILTER}
 UNION ALL SELECT 2, 'table', {kind[1]}, CAST(row_number() OVER (ORDER BY count(*) DESC, coalesce(feedback_category, 'null')) AS INT),
-  coalesce(feedback_category, 'null'), CAST(count(*) AS VARCHAR) FROM joined WHERE product_category = 'ECONOMY' GROUP BY feedback_category
-UNION ALL SELECT 3, 'chart', {q(QUESTIONS[2]["explanation"] + " " + tx.LINE_NOTE + " [bar, pie]")},
-  CAST(row_number() OVER (ORDER BY count(*) DESC, coalesce(urgency, 'null')) AS INT), coalesce(urgency, 'null'), CAST(count(*) AS VARCHAR)
+  coalesce(feedback_category, 'null'), CAST(count(*) AS VARCHAR), NULL, NULL FROM joined WHERE product_category = 'ECONOMY' GROUP BY feedback_category
+UNION ALL SELECT 3, 'chart', {kind[2]},
+  CAST(row_number() OVER (ORDER BY count(*) DESC, coalesce(urgency, 'null')) AS INT), coalesce(urgency, 'null'), CAST(count(*) AS VARCHAR), {q(tx.LINE_NOTE)}, 'bar,pie'
   FROM joined GROUP BY urgency
-UNION ALL SELECT 4, 'message', {q(tx.NO_MATCH)}, 0, NULL, NULL
-UNION ALL SELECT 5, 'message', {q(tx.BAD_BREAKDOWN_FORMAT % "rating")}, 0, NULL, NULL
-UNION ALL SELECT 6, 'message', {q(tx.NOT_FOUND_FORMAT % "no_such_review")}, 0, NULL, NULL
-UNION ALL SELECT 7, 'message', {kind[6]}, 0, NULL, NULL"""),
+UNION ALL SELECT 4, 'message', {q(tx.NO_MATCH)}, 0, NULL, NULL, NULL, NULL
+UNION ALL SELECT 5, 'message', {q(tx.BAD_BREAKDOWN_FORMAT % "rating")}, 0, NULL, NULL, NULL, NULL
+UNION ALL SELECT 6, 'message', {q(tx.NOT_FOUND_FORMAT % "no_such_review")}, 0, NULL, NULL, NULL, NULL
+UNION ALL SELECT 7, 'message', {kind[6]}, 0, NULL, NULL, NULL, NULL
+UNION ALL SELECT 8, 'summary', {kind[7]}, 0, {q(tx.SUMMARY_LABEL_FORMAT % ("1997-01-01", "1997-06-30"))},
+  replace(narrative, 'H1 1997', {q(tx.SUMMARY_LABEL_FORMAT % ("1997-01-01", "1997-06-30"))}), NULL, NULL FROM narratives WHERE window_label = 'H1 1997'
+UNION ALL SELECT 8, 'followup', {kind[7]}, CAST(unnest([1, 2, 3]) AS INT), unnest(['1', '2', '3']), unnest({array(tx.FALLBACK_FOLLOWUPS)}), NULL, NULL
+UNION ALL SELECT 9, 'message', {q(tx.BAD_DATES_FORMAT % ("1997-01-01", "June"))}, 0, NULL, NULL, NULL, NULL""",
+            WINDOWS, window_counts("report_windows"), NARRATIVE),
+        "parse_spec_json": with_base(
+            f"""SELECT spec_id, problem, CASE WHEN problem IS NOT NULL THEN 'unsupported' WHEN b = 9 THEN 'count' ELSE query_type END AS query_type,
+  NULL AS review_id, {", ".join(f"CASE WHEN b < 6 THEN {c} END AS {c}" for c in (
+      "breakdown_column", "group_by_column", *tx.FILTER_DIMENSIONS, "verified_purchase", "date_start", "date_end"))},
+  CASE WHEN b < 6 THEN array_to_string(chart_types, ',') END AS chart_types,
+  CASE WHEN problem IS NOT NULL THEN {q(tx.UNREADABLE_QUESTION)} WHEN b = 9 THEN 'typed' ELSE explanation END AS explanation
+FROM (SELECT *, spec_id % 10 AS b, CASE spec_id % 10 WHEN 6 THEN 'not a JSON object' WHEN 7 THEN 'missing explanation' WHEN 8 THEN 'unknown query_type' END AS problem FROM specs) s""",
+            SPECS),
     }
 
 
+def _prompt_lines() -> str:
+    return " || chr(10) || ".join(
+        f"{q(key.replace('_', ' ') + ': ')} || coalesce(string_agg(value || ': ' || count, ', ' ORDER BY count DESC, value) FILTER (dimension = '{d}'), '')"
+        for d, key in STAT_KEYS.items())
+
+
 def _texts() -> dict[str, str]:
     fields = "feedback_category, sentiment, urgency, reasoning"
     head = [("system", tx.SYSTEM_PROMPT), *few_shot_messages()]
@@ -447,7 +502,7 @@ def _texts() -> dict[str, str]:
         "classify_rules_reviews": with_base(f"SELECT review_id, {fields} FROM labelled", rules("reviews")),
         "classify_model": "WITH " + TEXTS + f"""
 SELECT review_id, CASE k {model} ELSE {q(tx.NO_CONTEXT)} END AS feedback_category, 'Neutral' AS sentiment, 'Low' AS urgency,
-  CASE WHEN k IN (0, 2) THEN {q(tx.FALLBACK["reasoning"])} ELSE 'kind ' || k END AS reasoning
+  CASE WHEN k IN (0, 2, 5) THEN {q(tx.FALLBACK["reasoning"])} ELSE 'kind ' || k END AS reasoning
 FROM (SELECT *, length(review_text) % 7 AS k FROM text_reviews) t""",
         "build_prompts": "WITH " + TEXTS + f"""
 SELECT review_id, {len(head) + 1} AS n_messages, md5({q(head_text)} || '|user~' || {question}) AS prompt_md5,
@@ -461,9 +516,10 @@ SELECT gold_category AS gold, feedback_category AS predicted, count(*) AS count
         "window_narrative": with_base("SELECT * FROM narratives", WINDOWS, window_counts("all_windows"), NARRATIVE),
         "window_summary_job": with_base(
             f"""SELECT window_label, date_start, date_end, is_valid AND count IS NOT NULL AS success,
-  CASE WHEN NOT is_valid THEN {out_of_range('lo', 'hi')} WHEN count IS NULL THEN {q(tx.NO_REVIEWS_IN_RANGE)} END AS error, coalesce(count, 0) AS total_reviews
-FROM overlap LEFT JOIN (SELECT window_label, count FROM counts WHERE dimension = 'total') t USING (window_label)""",
-            WINDOWS, OVERLAP, window_counts("all_windows")),
+  CASE WHEN NOT is_valid THEN message WHEN count IS NULL THEN {q(tx.NO_REVIEWS_IN_RANGE)} END AS error, coalesce(count, 0) AS total_reviews, stats, narrative
+FROM overlap LEFT JOIN (SELECT window_label, count FROM counts WHERE dimension = 'total') t USING (window_label)
+LEFT JOIN jsons USING (window_label) LEFT JOIN narratives USING (window_label)""",
+            WINDOWS, OVERLAP, window_counts("all_windows"), JSONS, NARRATIVE),
         "stats_json": with_base(
             "SELECT window_label, dimension, value, count FROM counts WHERE dimension <> 'complaints_by_product'",
             WINDOWS, window_counts("all_windows")),
@@ -471,11 +527,22 @@ FROM overlap LEFT JOIN (SELECT window_label, count FROM counts WHERE dimension =
         "context_window": """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS position, turn,
   CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, coalesce(text, '') AS content
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) t WHERE back <= 3""",
+        "query_prompts": with_base(f"""SELECT conv_id, CAST(count(*) + 1 AS INT) AS n_messages, md5({q("system~" + questions.PARSE_PROMPT)} || string_agg('|' || role || '~' || content, '' ORDER BY turn)) AS prompt_md5
+FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, coalesce(max(role) FILTER (back = 1) OVER (PARTITION BY conv_id), '') AS lastly,
+        CASE WHEN back = 1 THEN 'Schema:' || chr(10) || 'rows ' || row_count || chr(10) || chr(10) || 'Question: ' || coalesce(text, '') ELSE coalesce(text, '') END AS content
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) t, cover WHERE back <= 9) u
+WHERE lastly = 'user' GROUP BY conv_id"""),
+        "summary_prompts": with_base(f"""
+SELECT window_label, 'summary' AS task, md5({q("system~" + questions.SUMMARY_PROMPT + "|user~")} || {_prompt_lines()} || chr(10) || 'total: ' || max(count) FILTER (dimension = 'total')) AS prompt_md5
+FROM counts GROUP BY 1
+UNION ALL SELECT window_label, 'followups', md5({q("system~" + questions.FOLLOWUP_PROMPT + "|user~Summary: ")} || narrative || chr(10) || chr(10) || 'Stats: ' || stats)
+FROM overlap JOIN narratives USING (window_label) JOIN jsons USING (window_label) WHERE is_valid""",
+            WINDOWS, OVERLAP, window_counts("all_windows"), NARRATIVE, JSONS),
         "parse_followups": f"""SELECT doc_id, CAST(unnest([0, 1, 2]) AS INT) AS position,
   unnest(CASE WHEN doc_id % 5 = 4 THEN {array(tx.FALLBACK_FOLLOWUPS)} ELSE
     ['About ' || source || '?', CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'What next' END, '1. In ' || lang] END) AS question FROM documents""",
         "stream_ingest_classify": with_base(
-            "SELECT review_id, CAST(1 AS BIGINT) AS stored, CAST(1 AS BIGINT) AS labelled FROM raw GROUP BY review_id"),
+            f"SELECT review_id, product_category, rating, review_ts AS review_date, md5(review_text) AS text_md5, review_id AS labelled_id, {fields} FROM labelled", rules("reviews")),
     }
 
 

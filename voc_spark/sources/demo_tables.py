@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voc_spark.functions.literal import literal_table
 from voc_spark.functions.times import epoch_ms_to_ts, ntz, ts_to_epoch_ms
+from voc_spark.operators.counts import feedback_cube
+from voc_spark.operators.joins import counting_view
 from voc_spark.operators.prep import review_key
 from voc_spark.session import shared_dir
+from voc_spark.sources.parquet import ID_LOOKUP
 from voc_spark.taxonomy import FEEDBACK_CATEGORIES
 
 Q1_END = "1997-03-31"
@@ -55,14 +58,8 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that arrives in too few row groups; a large table stays as it is scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spread(source(spark, sf_dir, "lineitem"))
+    items = source(spark, sf_dir, "lineitem")
     orders = source(spark, sf_dir, "orders")
     parts = source(spark, sf_dir, "part")
     offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 3571) % 86400
@@ -126,7 +123,7 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     path = f"{shared_dir(spark)}/voc-tables/{tag}/{name}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        BUILDERS[name](spark, sf_dir).write.mode("overwrite").parquet(path)
+        BUILDERS[name](spark, sf_dir).write.mode("overwrite").options(**ID_LOOKUP).parquet(path)
     return path
 
 
@@ -145,16 +142,22 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(spark, sf_dir, "classifications"))
 
 
+def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feedback cube that window and spec queries count from."""
+    return spark.read.parquet(table_path(spark, sf_dir, "feedback_cube"))
+
+
 BUILDERS = {
     "raw_reviews": _build_raw,
     "reviews": lambda spark, sf_dir: _build_reviews(raw_reviews(spark, sf_dir)),
     "classifications": lambda spark, sf_dir: _build_classifications(reviews(spark, sf_dir)),
+    "feedback_cube": lambda spark, sf_dir: feedback_cube(counting_view(reviews(spark, sf_dir), classifications(spark, sf_dir))),
 }
 
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as reviews, each opened by a phrase of known category."""
-    docs = spread(source(spark, sf_dir, "documents"))
+    docs = source(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").cast("string").alias("review_id"), F.col("source").alias("product_category"),
         F.concat(by_number(F.col("doc_id"), PHRASES), F.lit(" "), "text").alias("review_text"),
@@ -168,11 +171,12 @@ def windows(spark: SparkSession) -> DataFrame:
 
 
 def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One window per customer and order month, so the window table grows with the data."""
-    start = F.col("o_orderdate").cast("date")
-    return spread(source(spark, sf_dir, "orders")).select(
+    """One window per order, so the window table grows with the data; some hold no date, or one with a time of day."""
+    start, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    day = start.cast("string")
+    return source(spark, sf_dir, "orders").select(
         F.concat(F.lit("w"), "o_orderkey").alias("window_label"),
-        start.cast("string").alias("date_start"),
+        F.when(k % 89 == 0, "1997-13-01").when(k % 97 == 0, F.concat(day, F.lit(" 12:00:00"))).otherwise(day).alias("date_start"),
         F.date_add(start, (F.col("o_custkey") % 120 - 10).cast("int")).cast("string").alias("date_end"),
     )
 
@@ -187,7 +191,7 @@ def spec_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     start = F.when(k % 7 == 0, F.date_add(day, 60)).when(k % 11 == 0, F.date_add(day, -4000)).otherwise(day)
     end = F.when(k % 13 == 0, F.date_add(day, 4000)).otherwise(F.date_add(day, (k % 50).cast("int")))
-    return spread(source(spark, sf_dir, "orders")).select(
+    return source(spark, sf_dir, "orders").select(
         k.alias("spec_id"),
         by_number(k, ["count", "breakdown", "chart", "summary"]).alias("query_type"),
         F.when(k % 4 == 1, pick(4, ["sentiment", "quarter", "rating", "product_category"])).alias("breakdown_column"),
@@ -197,7 +201,7 @@ def spec_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, pick(2, ["Negative", "Positive", "Mixed"])).alias("sentiment"),
         F.when(k % 8 == 3, pick(8, ["High", "Low", "Urgent"])).alias("urgency"),
         F.when(k % 9 == 0, F.floor(k / 9) % 2 == 0).alias("verified_purchase"),
-        F.when(k % 17 != 0, start.cast("string")).alias("date_start"),
+        F.when(k % 83 == 0, "soon").when(k % 79 == 0, F.concat(start.cast("string"), F.lit(" 12:00"))).when(k % 17 != 0, start.cast("string")).alias("date_start"),
         F.when(k % 19 != 0, end.cast("string")).alias("date_end"),
         F.concat(F.lit("request "), k).alias("explanation"),
         F.split(pick(1, ["bar", "line,bar", "pie,pie", "line,line,pie", "scatter", "bar,radar,bar", ""]), ",").alias("chart_types"),
@@ -230,9 +234,23 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("review_id", raw.alias("raw_json"))
 
 
+def spec_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer to every spec request as JSON, some damaged in a known way."""
+    rows = spec_requests(spark, sf_dir)
+    k = F.col("spec_id")
+    names = [c for c in rows.columns if c != "spec_id"]
+    good = F.to_json(F.struct(*names))
+    raw = (
+        F.when(k % 10 == 6, F.substring(good, 1, 20)).when(k % 10 == 7, F.to_json(F.struct(*[c for c in names if c != "explanation"])))
+        .when(k % 10 == 8, F.lit('{"query_type": "guess", "explanation": "x"}')).when(k % 10 == 9, F.lit('{"query_type": "count", "sentiment": 5, "explanation": "typed"}'))
+        .otherwise(good)
+    )
+    return rows.select("spec_id", raw.alias("raw_json"))
+
+
 def followup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A follow-up completion per document; some miss, some hold a dash-only line."""
-    docs = spread(source(spark, sf_dir, "documents"))
+    docs = source(spark, sf_dir, "documents")
     text = F.concat(
         F.lit("- About "), "source", F.lit("?\n\n"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("-\n")).otherwise(F.lit("-- What next \n")),

@@ -1,6 +1,7 @@
 """Parquet scans, sinks and versioned tables."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -10,6 +11,10 @@ from voc_spark.session import fresh_dir
 from voc_spark.taxonomy import PRODUCT_CATEGORIES
 
 
+#: Writer options: a bloom filter on the review id lets a point lookup skip row groups that dates can't.
+ID_LOOKUP = {"parquet.bloom.filter.enabled#review_id": "true"}
+
+
 def scan_reviews(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = RAW_REVIEWS) -> DataFrame:
     """One scan over the files of every product category, schema given, nothing inferred."""
     return spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths))
@@ -32,7 +37,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The scan carries the real file size, so Catalyst broadcasts it in a join only if it
     is below `spark.sql.autoBroadcastJoinThreshold` and shuffles it otherwise. It also cuts the lineage.
     """
-    return write_table(df, fresh_dir(df.sparkSession, label), mode="errorifexists")
+    path = fresh_dir(df.sparkSession, label)
+    for made in _scratches:
+        made.append(path)
+    return write_table(df, path, mode="errorifexists")
+
+
+_scratches: list[list[str]] = []
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For jobs that commit their own output: what `stored` writes inside the block is deleted at its end."""
+    made: list[str] = []
+    _scratches.append(made)
+    try:
+        yield
+    finally:
+        _scratches.remove(made)
+        for path in made:
+            drop_folder(spark, path)
 
 
 def init_tables(spark: SparkSession, root: str) -> dict[str, str]:

@@ -70,6 +70,8 @@ NOT_FOUND_FORMAT = "No review found with ID '%s'."
 BAD_BREAKDOWN_FORMAT = "'%s' isn't a valid column to break down by."
 BAD_CHART_FORMAT = "'%s' isn't a valid column to chart by."
 BANNER_FORMAT = "Showing %d reviews matching current filters"
+BAD_DATES_FORMAT = "'%s' to '%s' is not a pair of dates (YYYY-MM-DD)."
+UNREADABLE_QUESTION = "Unable to process this question due to a system error."
 SUMMARY_LABEL_FORMAT = "Custom: %s to %s"
 REVIEW_PROMPT_FORMAT = 'Review to classify:\n"""%s"""'
 TOOL_NAME = "classify_feedback"
