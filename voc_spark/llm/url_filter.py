@@ -78,11 +78,12 @@ def with_parts(pages: DataFrame) -> DataFrame:
 
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Distinct buckets of the overlapping character n-grams of host and path, each part framed on its own."""
-    found = []
-    for part, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))):
-        for n in GRAMS:
-            every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            found.append(F.transform(every, lambda g, tag=f"{part}{n}": F.pmod(F.xxhash64(F.lit(tag), g), F.lit(buckets)).cast("int")))
+    def hashed(tag: str, text: Column, n: int) -> Column:
+        every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.transform(every, lambda g: F.pmod(F.xxhash64(F.lit(tag), g), F.lit(buckets)).cast("int"))
+
+    parts = (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$"))))
+    found = [hashed(f"{part}{n}", text, n) for part, text in parts for n in GRAMS]
     return F.array_distinct(F.concat(*found))
 
 
