@@ -253,7 +253,7 @@ def passes(items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> Iterator[list[tu
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def matches(text: Column, index: Index) -> Column:
+def matches(text: Column, index: Index, once: bool = False) -> Column:
     """Array of (item_id, start, end, edits) found in each text."""
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -269,14 +269,16 @@ def matches(text: Column, index: Index) -> Column:
                     some, size = [], 0
             yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, MATCHES)(text)  # type: ignore[call-overload]
+    search = F.pandas_udf(run, MATCHES)
+    return (search.asNondeterministic() if once else search)(text)
 
 
 def leaks(docs: DataFrame, items: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, start, end, edits: each item in each document that holds it."""
     docs, found = pick(docs, doc_id="long", text="string"), None
     for part in passes(items):
-        here = docs.select("doc_id", matches(F.col("text"), Index(part, recall)).alias("m")).select("doc_id", F.inline("m"))
+        # Called non-deterministic so that the filter which Catalyst derives from `inline` is not moved below it: that would search twice.
+        here = docs.select("doc_id", matches(F.col("text"), Index(part, recall), True).alias("m")).select("doc_id", F.inline("m"))
         found = here if found is None else found.unionByName(here)
     if found is None:
         return docs.select("doc_id", F.explode(F.array().cast(MATCHES)).alias("m")).select("doc_id", "m.*")

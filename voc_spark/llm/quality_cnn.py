@@ -26,6 +26,7 @@ STRIDE, REACH, CHUNK, DIM, FILTERS = 4, 2, 512, 8, 24
 #: Distances of the echo, and the steps that it is averaged over.
 LAGS, ECHO_STEPS = range(2, 25), 8
 WIDTH = STRIDE * DIM + 1
+APART = STRIDE * (REACH + ECHO_STEPS) + max(LAGS)
 #: Labelled documents for fitting, and the longest of them in characters.
 FIT_ROWS, FIT_CHARS = 3_000, 12_000
 BLOCK_BYTES = 1 << 18
@@ -43,8 +44,8 @@ def new_model(seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text from a chunk boundary on with at least one window of zeros behind it; chunks per text."""
-    counts = np.array([-(-(len(t) + STRIDE * REACH) // CHUNK) for t in texts], np.int64)
+    """All bytes, each text from a chunk boundary on, with so many zeros behind it that no echo of the next one reaches it; chunks per text."""
+    counts = np.array([-(-(len(t) + APART) // CHUNK) for t in texts], np.int64)
     out = np.zeros((int(counts.sum()) + 1) * CHUNK, np.uint8)  # the spare chunk is what the last windows reach into
     at = 0
     for t, n in zip(texts, counts):
@@ -76,17 +77,21 @@ def responses(model: dict[str, np.ndarray], data: np.ndarray, echoes: np.ndarray
     return total.reshape(-1, CHUNK // STRIDE, FILTERS)
 
 
-def pooled(model: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
+def pooled(model: dict[str, np.ndarray], data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(chunks, filters), computed block by block."""
-    parts = [x.max(axis=1) for x in blocks(model, data, echo(data))]
+    parts = [x.max(axis=1) for x in blocks(model, data, echo(data), counts)]
     return np.maximum(np.concatenate(parts) + model["bias"], 0)
 
 
-def blocks(model: dict[str, np.ndarray], data: np.ndarray, echoes: np.ndarray) -> Iterator[np.ndarray]:
+def blocks(model: dict[str, np.ndarray], data: np.ndarray, echoes: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    ends = np.zeros(len(data) // CHUNK - 1, bool)
+    ends[np.cumsum(counts) - 1] = True
     chunks, step, each = len(data) // CHUNK - 1, max(1, BLOCK_BYTES // CHUNK), CHUNK // STRIDE
     for a in range(0, chunks, step):
         b = min(a + step, chunks) + 1
-        yield responses(model, data[a * CHUNK:b * CHUNK], echoes[a * each:b * each])
+        out = responses(model, data[a * CHUNK:b * CHUNK], echoes[a * each:b * each])
+        out[ends[a:b - 1], 1 - REACH:] = -np.inf  # these would reach into the next text
+        yield out
 
 
 def features(chunk_values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ def score_texts(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
     data, counts = padded(texts)
-    z = features(pooled(model, data), counts) @ model["head"] + model["out"][0]
+    z = features(pooled(model, data, counts), counts) @ model["head"] + model["out"][0]
     return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
@@ -130,7 +135,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 8, batch: int = 32, rate: flo
 def gradients(model: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     data, counts = padded(texts)
     best, top, chunks, echoes = [], [], len(data) // CHUNK - 1, echo(data)
-    for x in blocks(model, data, echoes):
+    for x in blocks(model, data, echoes, counts):
         best.append(x.argmax(axis=1))
         top.append(x.max(axis=1))
     best, raw = np.concatenate(best), np.concatenate(top) + model["bias"]
@@ -141,7 +146,8 @@ def gradients(model: dict[str, np.ndarray], texts: list[bytes], labels: np.ndarr
     dx = dz[:, None] * model["head"][None, :]
     doc = np.repeat(np.arange(len(texts)), counts)
     is_top = value >= x[doc, :FILTERS]
-    dv = dx[doc, FILTERS:] / counts[doc, None] + np.where(is_top, dx[doc, :FILTERS], 0)
+    alike = np.add.reduceat(is_top.astype(np.int64), np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)  # chunks that tie share the gradient
+    dv = dx[doc, FILTERS:] / counts[doc, None] + np.where(is_top, dx[doc, :FILTERS] / alike[doc], 0)
     dv = np.where(raw > 0, dv, 0).astype(np.float32)
     at = np.arange(chunks)[:, None] * CHUNK + best * STRIDE  # first byte of the best window, (chunks, filters)
     window = data[at[..., None] + np.arange(STRIDE * REACH)]  # (chunks, filters, bytes)

@@ -6,14 +6,13 @@ transitions) is fitted to those labels by its exact gradient. Scoring runs forwa
 every text; the marginals give the offending spans and, through a small logistic unit, the document's score.
 
 Scoring is a map over the table: no shuffle, memory bounded by a block of words. Null texts are empty ones; texts without
-words get the score of no evidence and no spans. Repeated rows are scored alike, each on its own; without any usable label every
-score is 0.5 and there are no spans. Other columns of the input are ignored.
+words get the score of no evidence and no spans. Repeated rows are scored alike, each on its own. With fewer than LEAST_DOCS documents of
+either label nothing can be learnt: every score is the same low one and there are no spans. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,11 +27,13 @@ from voc_spark.llm.common import carry, held_out, labelled_sample, pick
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_…"
-PREFIXES, SUFFIX, BUCKETS = (4, 5, 6, 7), 4, 1 << 17
+PREFIXES, SUFFIX, BUCKETS = (4, 5, 6, 7), 4, 1 << 19
 #: Labelled documents for fitting, and the longest of them in characters.
 FIT_ROWS, FIT_CHARS = 3_000, 8_000
 #: A feature marks toxic words if at least so many toxic documents have it and so few of those that have it are clean.
-LEAST_DOCS, CLEAN_SHARE = 5, 0.05
+LEAST_DOCS, CLEAN_SHARE = 5, 0.15
+#: Marginals below this don't count towards a document's score.
+LEAST_P = 0.1
 BLOCK_WORDS, KNOWN_WORDS = 200_000, 1_000_000
 OUTPUT = "doc_id long, held_out boolean, score double, spans array<struct<start:int,end:int,p:double>>"
 
@@ -42,7 +43,7 @@ carry(__name__)
 def word_features(word: str) -> list[str]:
     w = word.lower().strip(EDGES)
     n = len(w)
-    return ["=" + w, *[w[:k] for k in PREFIXES if n > k], "-" + w[-SUFFIX:]]
+    return ["", "=" + w, *[w[:k] for k in PREFIXES if n > k], "-" + w[-SUFFIX:]]
 
 
 def buckets(word: str) -> list[int]:
@@ -119,22 +120,26 @@ def _chain(x: np.ndarray, first: np.ndarray, T: np.ndarray, s: np.ndarray, rows:
     return out.T.ravel()
 
 
-def weak_labels(texts: list[list[str]], labels: list[int], least: int = LEAST_DOCS, clean_share: float = CLEAN_SHARE) -> set[str]:
-    """Features that mark toxic words."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, y in zip(texts, labels):
-        seen[y].update({f for w in set(words) for f in word_features(w)})
-    return {f for f, n in seen[1].items() if n >= least and seen[0][f] <= clean_share * n}
+def weak_labels(docs: list[np.ndarray], labels: list[int], least: int = LEAST_DOCS, clean_share: float = CLEAN_SHARE) -> np.ndarray:
+    """Which buckets mark toxic words, from each document's buckets. The bias, which every word has, marks none."""
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for own, y in zip(docs, labels):
+        seen[y, np.unique(own)] += 1
+    return (seen[1] >= least) & (seen[0] <= clean_share * seen[1])
 
 
 def doc_features(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Highest marginal, expected toxic words (log), their density, and 1."""
-    out = np.zeros((len(counts), 4))
-    out[:, 3] = 1
+    """Highest marginal, expected toxic words among those of at least LEAST_P (log), their density, the words (log), and 1.
+
+    Small marginals don't add up, so a long clean text stays clean.
+    """
+    out = np.zeros((len(counts), 5))
+    out[:, 3] = np.log1p(counts) / 10
+    out[:, 4] = 1
     full = counts > 0
     first = np.concatenate([[0], np.cumsum(counts)])[:-1][full]
     if len(first):
-        total = np.add.reduceat(p, first)
+        total = np.add.reduceat(np.where(p >= LEAST_P, p, 0), first)
         out[full, 0] = np.maximum.reduceat(p, first)
         out[full, 1] = np.log1p(total)
         out[full, 2] = total / counts[full]
@@ -142,26 +147,30 @@ def doc_features(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, int]], steps: int = 60, rate: float = 0.3, penalty: float = 0.05) -> Crf:
-    """The same rows give the same field. Rows of fewer than two labels give the field without evidence."""
-    empty = Crf(np.zeros(BUCKETS), np.log(np.array([[0.99, 0.01], [0.5, 0.5]])), np.log(np.array([0.99, 0.01])), np.zeros(4))
-    if len({y for _, y in rows}) < 2:
+    """The same rows give the same field. Too few rows of either label give the field without evidence."""
+    empty = Crf(np.full(BUCKETS, -1.0), np.log(np.array([[0.99, 0.01], [0.5, 0.5]])), np.log(np.array([0.99, 0.01])), np.array([0.0, 0.0, 0.0, 0.0, -4.0]))
+    if min(sum(y == k for _, y in rows) for k in (0, 1)) < LEAST_DOCS:
         return empty
     texts, labels = [WORDS.findall(t or "") for t, _ in rows], [y for _, y in rows]
-    marks = weak_labels(texts, labels)
     ids: dict[str, int] = {}
     tokens = np.array([ids.setdefault(w, len(ids)) for words in texts for w in words], np.int64)
     counts = np.array([len(w) for w in texts])
+    del texts
     owner = np.repeat(np.array(labels), counts)
-    marked = np.array([any(f in marks for f in word_features(w)) for w in ids], bool)
+    sizes = np.fromiter((len(buckets(w)) for w in ids), np.int64, len(ids))
+    flat, of = np.fromiter((b for w in ids for b in buckets(w)), np.int32, int(sizes.sum())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    begin = np.cumsum(sizes) - sizes
+    per_doc = [np.concatenate([flat[begin[t]:begin[t] + sizes[t]] for t in np.unique(part)] or [flat[:0]]) for part in np.split(tokens, np.cumsum(counts)[:-1])]
+    marks = weak_labels(per_doc, labels)
+    del per_doc
+    marked = np.bincount(of, marks[flat], len(ids)) > 0
     y = (marked[tokens] if len(tokens) else np.zeros(0, bool)) & (owner == 1)
     first = np.zeros(len(tokens), bool)
     begins = np.concatenate([[0], np.cumsum(counts)])[:-1][counts > 0]
     first[begins] = True
-    feats = [buckets(w) for w in ids]
-    flat, of = np.array([b for f in feats for b in f], np.int64), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     used, flat = np.unique(flat, return_inverse=True)
     w, trans, start = np.zeros(len(used)), empty.trans.copy(), empty.start.copy()
-    w -= 0.5
+    w[np.searchsorted(used, crc32(b"") % BUCKETS)] = -3.0  # words are clean until shown otherwise
     inner = ~first
     inner[:1] = False
     i = np.flatnonzero(inner)
