@@ -1,5 +1,7 @@
 """Rating-stratified sample with exact quotas, and its profile."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voc_spark import taxonomy as tx
@@ -7,6 +9,9 @@ from voc_spark.operators.prep import rating_band
 from voc_spark.sources.parquet import stored
 
 
+PREFIX_ROWS = 1_000
+
+
 def sample_hash(id_columns: list[str], seed: int) -> Column:
     """Order key that any engine reproduces: md5 over the row identity and the seed."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_columns], F.lit(str(seed))))
@@ -64,13 +69,16 @@ def strata_cuts(ranked: DataFrame, n: int, on_short: str, digits: int) -> DataFr
 
 def stratified_sample(
     windowed: DataFrame, n: int = 200, seed: int = 42, id_columns: tuple[str, ...] = ("asin", "user_id", "timestamp"),
-    on_short: str = "raise", shuffle: bool = True, digits: int = 3,
+    on_short: str = "raise", shuffle: bool = True, digits: int | None = None,
 ) -> DataFrame:
     """`n` rows per product category: 35 % low, 15 % mid, the rest high rated, in pseudo-random order.
 
     Low and mid quotas shrink to the rows there are; a short high stratum raises, or
-    gives all its rows with on_short="take_all". `id_columns` should tell rows apart.
+    gives all its rows with on_short="take_all". `id_columns` should tell rows apart. The hash prefix has as many
+    `digits` as leave about PREFIX_ROWS rows per prefix, so few rows beyond the quota are ever ranked.
     """
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, windowed.count()) / PREFIX_ROWS, 16)))
     ranked = (
         windowed.withColumn("band", rating_band(F.col("rating"))).where(F.col("band").isNotNull())
         .withColumn("order_key", sample_hash(list(id_columns), seed))

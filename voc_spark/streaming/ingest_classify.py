@@ -12,9 +12,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from voc_spark.operators.ingest import first_per_key, ingest_project, stamp_classified, stamp_ingested
 from voc_spark.schemas import CLASSIFICATIONS, REVIEWS
-from voc_spark.sources.parquet import stored
+from voc_spark.sources.parquet import ID_LOOKUP, drop_folder, scratch, stored
 
 BATCH = "ingest_batch"
+#: Batches after which the id folders are folded into one table; at most twice as many are ever listed.
+COMPACT_EVERY = 20
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,6 +26,38 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
+def read_ids(spark: SparkSession, root: str, before: int) -> DataFrame:
+    """Ids stored by batches before `before`: the newest compacted table that ends before it, and the batches after that."""
+    bases = [b for b in _numbers(spark, f"{root}/ids-base", "upto", "/_SUCCESS") if b < before]
+    base = max(bases, default=-1)
+    later = [f"{root}/ids/{BATCH}={b}" for b in _numbers(spark, f"{root}/ids", BATCH, "/_SUCCESS") if base < b < before]
+    paths = ([f"{root}/ids-base/upto={base}"] if bases else []) + later
+    return spark.read.schema("review_id string").parquet(*paths) if paths else spark.createDataFrame([], "review_id string")
+
+
+def compact_ids(spark: SparkSession, root: str, batch_id: int) -> None:
+    """One table of all ids up to this batch, clustered by id; the folders it replaces go once it is committed.
+
+    A replay of this batch finds the table before it still there, since the newest two stay.
+    """
+    folded = read_ids(spark, root, batch_id + 1)
+    folded.repartitionByRange("review_id").sortWithinPartitions("review_id").write.mode("overwrite").options(**ID_LOOKUP).parquet(f"{root}/ids-base/upto={batch_id}")
+    kept = sorted(_numbers(spark, f"{root}/ids-base", "upto", "/_SUCCESS"))[-2:]
+    for b in _numbers(spark, f"{root}/ids-base", "upto"):
+        if b < kept[0]:
+            drop_folder(spark, f"{root}/ids-base/upto={b}")
+    for b in _numbers(spark, f"{root}/ids", BATCH):
+        if len(kept) == 2 and b <= kept[0]:
+            drop_folder(spark, f"{root}/ids/{BATCH}={b}")
+
+
+def _numbers(spark: SparkSession, folder: str, name: str, inside: str = "") -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*{inside}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    parts = [(f.getPath().getParent() if inside else f.getPath()).getName() for f in found or []]
+    return [int(p.split("=")[1]) for p in parts]
+
+
 def _write_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/{BATCH}={batch_id}")
 
@@ -33,16 +67,24 @@ def ingest_batch(
     classify: Callable[[DataFrame], DataFrame], order: list[str],
 ) -> None:
     """Store the keys of one micro-batch that earlier batches do not hold, then classify exactly those."""
+    with scratch(batch.sparkSession):
+        _ingest(batch, batch_id, root, prepare, classify, order)
+
+
+def _ingest(batch, batch_id, root, prepare, classify, order) -> None:
     spark = batch.sparkSession
     keyed = prepare(batch).where(F.col("review_id").isNotNull())
     fresh = first_per_key(keyed, "review_id", order)
     if batch_id > 0:
         # Written once: the scan has a known size, so a small batch is broadcast and the stored table is not shuffled.
         fresh = stored(fresh, "batch")
-        earlier = read_table(spark, root, "reviews").where(F.col(BATCH) < batch_id).select("review_id")
+        earlier = read_ids(spark, root, batch_id)
         known = earlier.join(fresh.select("review_id"), "review_id", "left_semi")
         fresh = fresh.join(known, "review_id", "left_anti")
     _write_batch(stamp_ingested(ingest_project(fresh)), root, "reviews", batch_id)
+    _write_batch(spark.read.schema(REVIEWS).parquet(f"{root}/reviews/{BATCH}={batch_id}").select("review_id"), root, "ids", batch_id)
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        compact_ids(spark, root, batch_id)
     added = spark.read.schema(REVIEWS).parquet(f"{root}/reviews/{BATCH}={batch_id}")
     _write_batch(stamp_classified(classify(added)), root, "classifications", batch_id)
 
