@@ -159,7 +159,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], recall: float = RECALL):
         coded = [(i, codes_of(t)) for i, t in items]
         self.items = [(i, c) for i, c in coded if len(c) >= LEAST_WORDS]
-        self.words = [set(c.tolist()) for _, c in self.items]
+        self.words = [Counter(c.tolist()) for _, c in self.items]
         self.sizes = sorted({len(c) for _, c in self.items})
         self.known = Codes()
         if not self.items:
@@ -237,7 +237,7 @@ class Index:
                 continue
             window = codes[start:start + n]
             window = window[window != 0].tolist()
-            if sum(w not in self.words[item] for w in window) > allowed(n):  # each is an edit of its own
+            if len(window) - (Counter(window) & self.words[item]).total() > allowed(n):  # words too many for the item are an edit each
                 continue
             edits = edit_distance(window, self.items[item][1].tolist(), allowed(n))
             if edits <= allowed(n):
