@@ -167,6 +167,25 @@ def test_passages_by_brute_force(spark, passages, parts):
     assert len(got) < 10 * len(in_result)  # not all pairs
 
 
+@pytest.mark.parametrize("parts", ["4", "40"])
+def test_large_group_of_edited_copies_is_one_class(spark, parts):
+    """Half of the copies have one word changed, so each is similar enough to the other half. The hash functions may miss 1 %."""
+    r, rows, copies = random.Random(5), [], 3000
+    shared = [f"s{k}" for k in range(60)]
+    for d in range(copies):
+        own = list(shared)
+        if r.random() < 0.5:
+            own[r.randrange(60)] = f"e{r.randrange(10**9)}"
+        out = [[f"w{r.randrange(10**9)}" for _ in range(r.randint(5, 40))] for _ in range(2)]
+        rows.append((d, " ".join(out[0] + own + out[1])))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = cw.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = roots(copies, {(r.doc_a, r.doc_b) for r in got})
+    assert len(got) < 10 * copies and copies - max(map(found.count, set(found))) <= copies // 100
+
+
 def test_odd_documents_have_no_passages(odd_docs, no_docs):
     assert cw.passages(odd_docs).count() == 0 and cw.passages(no_docs).count() == 0
 
