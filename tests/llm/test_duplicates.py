@@ -186,6 +186,33 @@ def test_large_group_of_edited_copies_is_one_class(spark, parts):
     assert len(got) < 10 * copies and copies - max(map(found.count, set(found))) <= copies // 100
 
 
+def test_edited_passage_inside_a_longer_run():
+    """80 words with one changed are similar enough, the 60 after them with every tenth changed are not, nor is the whole."""
+    a = [f"w{k}" for k in range(140)]
+    b = [f"x{k}" if k == 40 or k > 80 and k % 10 == 5 else w for k, w in enumerate(a)]
+    got = cw.verify(a, b)
+    assert got and min(r[0] for r in got) == 0 and max(r[1] for r in got) >= 80 and all(r[4] >= 0.8 for r in got)
+    swapped = cw.verify(a[::-1], b[::-1])
+    assert swapped and max(r[1] for r in swapped) == 140 and min(r[0] for r in swapped) <= 60
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_parts_of_a_run_cover_all_that_is_similar(seed):
+    r = random.Random(seed)
+    a = [f"w{k}" for k in range(200)]
+    b = [w if r.random() > (0.01, 0.08)[k // 40 % 2] else f"x{k}" for k, w in enumerate(a)]
+    grams = lambda w: {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    got, share = cw.verify(a, b), lambda x, y: len(x & y) / len(x | y)
+    for a0, a1, b0, b1, similarity in got:
+        assert min(a1 - a0, b1 - b0) >= 50 and similarity == pytest.approx(share(grams(a[a0:a1]), grams(b[b0:b1]))) and similarity >= 0.8
+    held = [a[k:k + 5] == b[k:k + 5] for k in range(196)]
+    split = [k for k in range(196 - cw.GAP) if not any(held[k:k + cw.GAP])]  # no passage reaches over so many changed shingles
+    for lo in range(150):
+        for hi in range(lo + 50, 201):
+            if held[lo] and held[hi - 5] and not any(lo < k < hi - 5 for k in split) and share(grams(a[lo:hi]), grams(b[lo:hi])) >= 0.8:
+                assert all(any(x[0] <= w < x[1] for x in got) for w in (lo, (lo + hi) // 2, hi - 1))
+
+
 def test_odd_documents_have_no_passages(odd_docs, no_docs):
     assert cw.passages(odd_docs).count() == 0 and cw.passages(no_docs).count() == 0
 
