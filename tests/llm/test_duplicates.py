@@ -213,6 +213,35 @@ def test_parts_of_a_run_cover_all_that_is_similar(seed):
                 assert all(any(x[0] <= w < x[1] for x in got) for w in (lo, (lo + hi) // 2, hi - 1))
 
 
+def test_passage_repeated_inside_documents(spark):
+    """Every occurrence belongs to the class of its passage, whether or not another document holds it."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    one, two, rows, places = words(60), words(70), [], defaultdict(set)
+    for d, passage, times in ((1, one, 12), (2, one, 1), (3, one, 3), (4, two, 9), (5, words(60), 1)):
+        body = words(30)
+        for _ in range(times):
+            places[" ".join(passage)].add((d, len(body)))
+            body += passage + words(r.randint(20, 90))
+        rows.append((d, " ".join(body)))
+    again = words(55)
+    rows.append((6, " ".join(again * 6)))
+    got = cw.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {d: t.split() for d, t in rows}
+    at = {}
+    for x in got:
+        assert x.doc_a < x.doc_b or x.doc_a == x.doc_b and x.a_to <= x.b_from
+        for d, lo, hi in ((x.doc_a, x.a_from, x.a_to), (x.doc_b, x.b_from, x.b_to)):
+            for passage, held in places.items():
+                n = len(passage.split())
+                at |= {(d, lo, hi): (d, p) for e, p in held if e == d and min(hi, p + n) - max(lo, p) >= 50}
+    for passage, held in places.items():
+        ids = sorted(held)
+        links = [(ids.index(u), ids.index(v)) for x in got if (u := at.get((x.doc_a, x.a_from, x.a_to))) in held and (v := at.get((x.doc_b, x.b_from, x.b_to))) in held]
+        assert len(held) == 1 or len(set(roots(len(ids), links))) == 1
+    assert {w for x in got if x.doc_a == 6 for w in [*range(x.a_from, x.a_to), *range(x.b_from, x.b_to)]} == set(range(len(texts[6])))
+
+
 def test_odd_documents_have_no_passages(odd_docs, no_docs):
     assert cw.passages(odd_docs).count() == 0 and cw.passages(no_docs).count() == 0
 
