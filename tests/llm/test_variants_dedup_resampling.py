@@ -1,0 +1,232 @@
+"""Spelling variants, suffix-array dedup and importance resampling against plain Python over whole tables."""
+
+import hashlib
+import math
+import random
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from voc_spark.llm import importance, lyndon_dedup, permuterm  # noqa: E402
+from voc_spark.llm.lyndon_dedup import shared_strings, suffix_array  # noqa: E402
+from voc_spark.llm.queries import QUERIES  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# ---- plain versions -------------------------------------------------------------------------------------------------
+
+def plain_variants(rows):
+    counts = {}
+    for doc_id, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            low = run.translate(LOWER)
+            if len(low) < 7:
+                continue
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{low}".encode())
+            if h % 31 == 0:
+                at = h % len(low)
+                low = low[:at] + low[at + 1:]
+            if len(low) >= 7:
+                counts[low] = counts.get(low, 0) + 1
+    words = {w: n for w, n in counts.items() if n >= 2}
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        s, t = (a, b) if len(a) < len(b) else (b, a)
+        return any(t[:i] + t[i + 1:] == s for i in range(len(t)))
+
+    out = {}
+    for w, n in words.items():
+        ns = [v for v in words if near(w, v)]
+        best = min(ns, key=lambda v: (-words[v], v)) if ns else None
+        form = best if best is not None and words[best] >= 10 * n else None
+        out[w] = [form, None, n, len(ns), words[form] if form else None]
+    for w, rec in out.items():
+        r = w
+        while out[r][0] is not None:
+            r = out[r][0]
+        rec[1] = r
+    return {w: tuple(v) for w, v in out.items()}
+
+
+def plain_dedup(rows, length=50):
+    big = (1 << 63) - 1
+    order = sorted(range(len(rows)), key=lambda i: big if rows[i][0] is None else rows[i][0])
+    seen, result = set(), [None] * len(rows)
+    i = 0
+    while i < len(order):
+        j = i
+        key = lambda k: big if rows[order[k]][0] is None else rows[order[k]][0]
+        while j < len(order) and key(j) == key(i):
+            j += 1
+        found = []
+        for k in range(i, j):
+            data = (rows[order[k]][1] or "").encode()
+            gone = [False] * len(data)
+            for p in range(len(data) - length + 1):
+                if data[p:p + length] in seen:
+                    for q in range(p, p + length):
+                        gone[q] = True
+            spans = sum(1 for q in range(len(data)) if gone[q] and (q == 0 or not gone[q - 1]))
+            kept = bytes(b for b, g in zip(data, gone) if not g)
+            result[order[k]] = (rows[order[k]][0], len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+            found.append(data)
+        if key(i) != big:
+            for data in found:
+                seen.update(data[p:p + length] for p in range(len(data) - length + 1))
+        i = j
+    return result
+
+
+def plain_resampling(rows, bench):
+    word = re.compile(importance.WORD)
+
+    def feats(text):
+        return word.findall((text or "").translate(LOWER))
+
+    def totals(texts):
+        b = [0] * 10_000
+        for t in texts:
+            for f in feats(t):
+                b[zlib.crc32(f.encode()) % 10_000] += 1
+        return b
+
+    s, t = totals(r[1] for r in rows), totals(bench)
+    big_s, big_t = sum(s), sum(t)
+    gain = [math.floor(1000 * math.log(((t[k] + 1) * (big_s + 10_000.0)) / ((s[k] + 1) * (big_t + 10_000.0)))) for k in range(10_000)]
+    out = []
+    for doc_id, text in rows:
+        fs = feats(text)
+        weight = sum(gain[zlib.crc32(f.encode()) % 10_000] for f in fs) // len(fs) if fs else 0
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([doc_id, len(fs), weight, score, None])
+    eligible = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[3], (1 << 63) if r[0] is None else r[0], r[1]))
+    for place, r in enumerate(eligible[:10 * len(eligible) // 100], 1):
+        r[4] = place
+    return out
+
+
+# ---- fixtures -------------------------------------------------------------------------------------------------------
+
+def planted_rows():
+    rnd = random.Random(5)
+    vocab = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilogram", "lighthouse", "mountain", "november"]
+    passage = " ".join(rnd.choice(vocab) for _ in range(30))
+    rows = []
+    for i in range(60):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(0, 80))]
+        if i % 5 == 0:
+            words[len(words) // 2:len(words) // 2] = passage.split()
+        if i % 7 == 0 and words:
+            words[0] = words[0] + "x"
+        rows.append((i * 3 % 61, " ".join(words)))
+    rows += [(7, rows[3][1]), (None, rows[10][1]), (None, rows[10][1]), (100, None), (101, ""), (102, "Ünïcodé wörds " * 20), (103, passage + passage)]
+    rows += [(200 + k, ("lighthouse " * 3) + ("lighthuse " if k % 2 else "lighthouses ") + "mountain") for k in range(40)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    return spark.createDataFrame(planted_rows(), "doc_id long, text string").selectExpr("*", "'x' AS rk", "'y' AS cid", "'z' AS starts")
+
+
+def test_suffix_array_equals_sorting():
+    rnd = random.Random(3)
+    for trial in range(500):
+        k = rnd.randint(1, 5)
+        ctxs = [bytes(rnd.choice(b"ab" if trial % 2 else b"abca") for _ in range(rnd.randint(0, 15))) for _ in range(k)]
+        t, ends = [], []
+        for j, c in enumerate(ctxs):
+            sep = len(t) + len(c)
+            t.extend(b + k for b in c)
+            t.append(k - 1 - j)
+            ends.extend([sep] * (len(c) + 1))
+        assert suffix_array(t, ends) == sorted(range(len(t)), key=lambda i: t[i:ends[i] + 1])
+
+
+def test_shared_strings_of_equal_contexts():
+    got = sorted(shared_strings([b"abcdef", b"zabcdz", b"abcdef"], [5, 3, 9], [5, 4, 9], length=4))
+    # "abcd" is held by 5, by 3 and 4, and by 9: the least is 3, so contexts held by someone above 3 lose it.
+    # Context 1 is held by 3 and 4, so 4 loses all of it; context 0 keeps what only 5 holds; context 2 loses that to 5.
+    assert got == [(0, 0, 3), (1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 0, 3), (2, 1, 5), (2, 2, 5)]
+
+
+def test_dedup_equals_plain(spark, planted):
+    rows = planted_rows()
+    got = sorted((tuple(r) for r in lyndon_dedup.dedup(planted).collect()), key=repr)
+    assert got == sorted(plain_dedup(rows), key=repr)
+    assert any(r[2] > 0 for r in got)
+
+
+def test_dedup_hot_anchors_take_the_exact_way(spark, planted):
+    rows = planted_rows()
+    got = sorted((tuple(r) for r in lyndon_dedup.dedup(planted, most_contexts=1).collect()), key=repr)
+    assert got == sorted(plain_dedup(rows), key=repr)
+
+
+def test_dedup_query_equals_plain(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in QUERIES["op12_suffix_array_dedup"](spark, SMALL).collect()), key=repr)
+    assert got == sorted(plain_dedup(rows), key=repr)
+
+
+def test_variants_equal_plain(spark, planted):
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in permuterm.variants(planted).collect()}
+    assert got == plain_variants(planted_rows())
+    assert any(v[0] for v in got.values())
+
+
+def test_variants_query_equals_plain(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in QUERIES["op11_spelling_variants"](spark, SMALL).collect()}
+    assert got == plain_variants(rows)
+
+
+def test_variants_chain_and_runs(spark):
+    # Deleting either 'o' of "boookkeeper" gives one word: it is counted once as a neighbour.
+    rows = [(1, "bookkeeper " * 300 + "boookkeeper " * 20 + "bokkeeper " * 2)]
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in permuterm.variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_variants(rows)
+    assert got["bokkeeper"][1] == "bookkeeper"
+
+
+def test_resampling_equals_plain(spark, planted):
+    bench = ["alpha bravo charlie", "lighthouse mountain november", None]
+    got = sorted((tuple(r) for r in importance.resample(planted, spark.createDataFrame([(t,) for t in bench], "text string"), head=8)
+                  .select("doc_id", "n_features", "weight", "score", "rank").collect()), key=repr)
+    assert got == sorted((tuple(r) for r in plain_resampling(planted_rows(), bench)), key=repr)
+    assert sum(r[4] is not None for r in got) == 10 * sum(r[1] >= 20 for r in got) // 100
+
+
+def test_resampling_query_equals_plain(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    bench = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    got = sorted((tuple(r) for r in QUERIES["op13_importance_resampling"](spark, SMALL).collect()), key=repr)
+    assert got == sorted((tuple(r) for r in plain_resampling(rows, bench)), key=repr)
+
+
+def test_head_states_continue_pairs(spark, planted):
+    states = {"lighthouse": zlib.crc32(b"lighthouse")}
+    words = ["lighthouse", "mountain"]
+    assert importance._crc(words, 0, 2, states) == zlib.crc32(b"lighthouse mountain")
+    counts = importance.feature_counts(planted.select("text"), 1, 2)
+    assert counts.where("feature = 'lighthouse lighthouse'").first()["n"] >= 80
+
+
+@pytest.mark.parametrize("run", [lambda d, s: lyndon_dedup.dedup(d), lambda d, s: permuterm.variants(d),
+                                 lambda d, s: importance.resample(d, d)])
+def test_odd_and_empty(spark, odd_docs, no_docs, run):
+    assert run(no_docs, spark).count() == 0
+    run(odd_docs, spark).collect()

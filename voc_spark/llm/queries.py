@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc_spark.llm import chat_tree, compact_windows, decontaminate, mixing, pii, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter
+from voc_spark.llm import (
+    chat_tree, compact_windows, decontaminate, importance, lyndon_dedup, mixing, permuterm, pii, quality_cnn, rule_cascade, simhash, toxicity_crf, url_filter,
+)
 from voc_spark.llm.common import pick, table
 from voc_spark.sources.parquet import stored
 
@@ -70,6 +72,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
@@ -81,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
