@@ -9,7 +9,7 @@ from voc_spark.functions.times import epoch_ms_to_ts
 from voc_spark.operators import (
     chat, classify, constraints, counts, filters, ingest, joins, prep, profile, questions, sampling, specs, windows,
 )
-from voc_spark.plans import answers, summaries
+from voc_spark.plans import answers, cube_upkeep, summaries
 from voc_spark.schemas import RAW_REVIEWS, SUMMARIES, TABLES
 from voc_spark.session import fresh_dir
 from voc_spark.sources import demo_tables as demo
@@ -304,6 +304,13 @@ def feedback_cube(spark, d):
     return counts.feedback_cube(_view(spark, d)).withColumn("review_day", F.col("review_day").cast("string"))
 
 
+def feedback_cube_maintained(spark, d):
+    """The cube built by yearly batches of reviews and labels in order of arrival, with signed deltas and compaction."""
+    reviews, classes = demo.reviews(spark, d), demo.classifications(spark, d)
+    kept = cube_upkeep.maintain(spark, fresh_dir(spark, "cube-upkeep"), reviews, classes, F.year("review_ts"), F.year("classified_at"))
+    return kept.withColumn("review_day", F.col("review_day").cast("string"))
+
+
 # --- specs -----------------------------------------------------------------
 def normalize_specs(spark, d):
     return specs.normalize_specs(demo.spec_requests(spark, d), demo.reviews(spark, d)).select(
@@ -497,6 +504,7 @@ QUERIES: dict[str, Query] = {
     "distinct_values": distinct_values,
     "schema_profile": schema_profile,
     "feedback_cube": feedback_cube,
+    "feedback_cube_maintained": feedback_cube_maintained,
     "newest_first_thread": newest_first_thread,
     "normalize_specs": normalize_specs,
     "validate_specs": validate_specs,

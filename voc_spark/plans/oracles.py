@@ -417,6 +417,9 @@ LEFT JOIN ({facets} UNION ALL SELECT 'verified_purchase', unnest(['true', 'false
         "feedback_cube": with_base(
             "SELECT product_category, feedback_category, sentiment, urgency, quarter, verified_purchase, CAST(CAST(review_date AS DATE) AS VARCHAR) AS review_day,"
             " coalesce(review_date = date_trunc('day', review_date), false) AS at_midnight, count(*) AS n FROM joined GROUP BY ALL"),
+        "feedback_cube_maintained": with_base(
+            "SELECT product_category, feedback_category, sentiment, urgency, quarter, verified_purchase, CAST(CAST(review_date AS DATE) AS VARCHAR) AS review_day,"
+            " coalesce(review_date = date_trunc('day', review_date), false) AS at_midnight, count(*) AS n FROM joined GROUP BY ALL"),
     }
 
 
