@@ -449,7 +449,7 @@ def stream_ingest_classify(spark, d):
         dated = prep.with_review_date(raw.withColumn("review_id", prep.review_key()))
         return dated.withColumn("quarter", prep.quarter_label(F.col("review_date"), demo.Q1_END, "Q1", "Q2"))
 
-    ingest_classify.start_ingest(
+    ingest_classify.start_ingest_stateful(
         spark, source, schema, root, prepare, classify.classify_rules,
         ["timestamp", "l_orderkey", "l_linenumber", "l_extendedprice"], files_per_batch=4,
     ).awaitTermination()
