@@ -14,16 +14,21 @@ steps without recursion: suffixes are grouped by their Lyndon prefix (up to the
 of previous- and next-smaller pointers; a context bounds it), the groups are ordered by that prefix, and one left-to-right
 pass over the array puts each suffix's chain of previous-smaller suffixes at the front of their groups, which fixes the order
 inside every group. Adjacent suffixes that agree in `length` bytes within their context form the runs of one string; the
-least doc_id of a run decides which holders lose those bytes. An anchor with more than `most_contexts` distinct contexts
-goes an exact way instead: its strings are grouped by their bytes in Spark, with the same result.
+least doc_id of a run decides which holders lose those bytes. An anchor with one distinct context (copies of one passage)
+needs no array: all its strings go to its least holder, in Spark functions. Anchors with up to `most_contexts` contexts are
+collected one array each and passed many to an Arrow batch; an anchor with more goes an exact way instead: its strings
+are grouped by their bytes in Spark, with the same result.
 
 Edge cases: a null text is empty; texts shorter than `length` keep all bytes. A null doc_id is larger than every doc_id
 and never smaller than another null one, so such rows lose bytes to any document and take none. Rows with equal doc_id
-do not remove each other's bytes. An empty table gives an empty result; other columns are ignored.
+do not remove each other's bytes. An empty table gives an empty result; other columns are ignored. Rows are keyed by
+(doc_id, 64-bit text hash) and contexts by a 64-bit hash within their anchor: two different texts or contexts that share
+both would be taken as one (odds about n^2 / 2^64).
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,15 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc_spark.llm.common import carry, pick
-from voc_spark.sources.parquet import stored
+from voc_spark.sources.parquet import drop_folder, stored
 
 # Fixed value of the contract: the length of a removed string in bytes.
 LENGTH = 50
 #: Bytes of an anchor gram, and the distinct contexts of one anchor that go through one suffix array.
 GRAM, MOST_CONTEXTS = 16, 4096
-#: Rows of a document's grams hashed at once.
-PIECE = 1 << 16
+#: Grams of a document whose least ones are found at once (positions must fit in 16 bits).
+PIECE = 1 << 15
 NO_ID = (1 << 63) - 1
+_TOP = np.uint64(0xFFFFFFFFFFFF0000)
 
 carry(__name__)
 
@@ -49,59 +55,80 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
-    """A 64-bit hash of every gram of the bytes, in pieces so that long texts stay bounded."""
-    arr = np.frombuffer(data, np.uint8)
-    weights = (np.arange(1, gram + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
-    out = np.empty(len(arr) - gram + 1, np.uint64)
+    """A 64-bit hash of every gram of the bytes: a polynomial over prefix sums, then mixed; O(1) work per byte."""
+    arr = np.frombuffer(data, np.uint8).astype(np.uint64)
     with np.errstate(over="ignore"):
-        for a in range(0, len(out), PIECE):
-            b = min(len(out), a + PIECE)
-            view = np.lib.stride_tricks.sliding_window_view(arr[a:b + gram - 1], gram).astype(np.uint64)
-            h = (view * weights).sum(axis=1, dtype=np.uint64)
-            h ^= h >> np.uint64(31)
-            h *= _MIX
-            h ^= h >> np.uint64(29)
-            out[a:b] = h
-    return out
-
-
-def anchors(hashes: np.ndarray, n: int, length: int = LENGTH, gram: int = GRAM) -> list[int]:
-    """Start of the leftmost least gram of every `length`-byte string of n bytes with these gram hashes, each once, in order."""
-    if n < length:
-        return []
-    span = length - gram + 1
-    found = set()
-    for a in range(0, n - length + 1, PIECE):
-        b = min(n - length + 1, a + PIECE)
-        windows = np.lib.stride_tricks.sliding_window_view(hashes[a:b + span - 1], span)
-        found.update((np.arange(a, b) + windows.argmin(axis=1)).tolist())
-    return sorted(found)
-
-
-def occurrences(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(m, rk, cid, start, ctx): each anchor of each row of (rk, cid, text) with its context and where that begins."""
-    reach = length - gram
-
+        powers = np.cumprod(np.full(len(arr), _MIX, np.uint64), dtype=np.uint64)  # MIX^(i+1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((arr + np.uint64(1)) * powers, dtype=np.uint64)])
+        # sum of b[i+k] * MIX^(i+k+1) over the gram, times MIX^-(i) to shift it to the same origin (MIX is odd: invertible mod 2^64)
+        inverse = np.uint64(pow(int(_MIX), -1, 1 << 64))
+        shifts = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(arr) - gram, inverse, np.uint64)]), dtype=np.uint64)
+        h = (sums[gram:] - sums[:-gram]) * shifts
+        h ^= h >> np.uint64(31)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def anchors(hashes: np.ndarray, n: int, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Start of the leftmost least gram of every `length`-byte string of n bytes with these gram hashes, each once, in order.
+
+    Grams are ordered by the top 48 bits of their hash, then by place; sliding minima by blocks (van Herk), no loop per byte.
+    """
+    span, count = length - gram + 1, n - length + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    found = []
+    for a in range(0, count, PIECE):
+        b = min(count, a + PIECE)
+        x = (hashes[a:b + span - 1] & _TOP) | np.arange(b + span - 1 - a, dtype=np.uint64)
+        blocks = np.concatenate([x, np.full((-len(x)) % span, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, span)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(behind[:b - a], ahead[span - 1:span - 1 + b - a])
+        found.append((least & np.uint64(0xFFFF)).astype(np.int64) + a)
+    return np.unique(np.concatenate(found))
+
+
+def anchor_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(m, cid, th, pos): every anchor of every row of (cid, th, text); m is the top half of the anchor gram's hash."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ms, rks, cids, starts, ctxs = [], [], [], [], []
-            for rk, cid, text in zip(f["rk"], f["cid"], f["text"]):
+            parts = []
+            for cid, th, text in zip(f["cid"], f["th"], f["text"]):
                 data = (text or "").encode("utf-8")
                 if len(data) < length:
                     continue
                 hashes = _gram_hashes(data, gram)
-                signed = hashes.view(np.int64)
-                for p in anchors(hashes, len(data), length, gram):
+                at = anchors(hashes, len(data), length, gram)
+                parts.append(pd.DataFrame({"m": (hashes[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), "cid": cid, "th": th, "pos": at.astype(np.int32)}))
+            yield pd.concat(parts) if parts else pd.DataFrame({"m": pd.Series([], dtype="int32"), "cid": pd.Series([], dtype="int64"),
+                                                                "th": pd.Series([], dtype="int64"), "pos": pd.Series([], dtype="int32")})
+
+    return rows.select("cid", "th", "text").mapInPandas(run, "m int, cid long, th long, pos int")
+
+
+def contexts_of(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(m, cid, th, start, ctx) for the listed anchors (m, pos) of each row of (cid, th, text, at)."""
+    reach = length - gram
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ms, cids, ths, starts, ctxs = [], [], [], [], []
+            for cid, th, text, at in zip(f["cid"], f["th"], f["text"], f["at"]):
+                data = (text or "").encode("utf-8")
+                for anchor in at:
+                    m, p = anchor["m"], anchor["pos"]
                     a = max(0, p - reach)
-                    ms.append(int(signed[p]))
-                    rks.append(rk)
+                    ms.append(m)
                     cids.append(cid)
+                    ths.append(th)
                     starts.append(a)
                     ctxs.append(data[a:p + length])
-            yield pd.DataFrame({"m": pd.Series(ms, dtype="int64"), "rk": pd.Series(rks, dtype="int64"), "cid": pd.Series(cids, dtype="int64"),
+            yield pd.DataFrame({"m": pd.Series(ms, dtype="int32"), "cid": pd.Series(cids, dtype="int64"), "th": pd.Series(ths, dtype="int64"),
                                 "start": pd.Series(starts, dtype="int32"), "ctx": pd.Series(ctxs, dtype="object")})
 
-    return keyed.select("rk", "cid", "text").mapInPandas(run, "m long, rk long, cid long, start int, ctx binary")
+    return texts.mapInPandas(run, "m int, cid long, th long, start int, ctx binary")
 
 
 def suffix_array(t: list[int], ends: list[int]) -> list[int]:
@@ -155,8 +182,15 @@ def suffix_array(t: list[int], ends: list[int]) -> list[int]:
 
 
 def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(context, offset, least doc_id) for each `length`-byte string of the contexts that some holder loses."""
+    """(context, offset, least doc_id) for each `length`-byte string of the contexts that some holder loses.
+
+    A single context (an anchor seen only in copies of one passage) needs no suffix array: all its strings go to its least holder.
+    """
     k = len(ctxs)
+    if k == 1:
+        if lows[0] < highs[0]:
+            yield from ((0, off, lows[0]) for off in range(len(ctxs[0]) - length + 1))
+        return
     t: list[int] = []
     ends: list[int] = []
     owner: list[int] = []
@@ -188,40 +222,80 @@ def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row of docs."""
-    rows = pick(docs, doc_id="long", text="string")
-    keyed = stored(rows.select(F.monotonically_increasing_id().alias("rk"), "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("cid"), "text"), "lyndon-docs")
-    found = stored(occurrences(keyed, length, gram), "lyndon-anchors")
-    spread = found.groupBy("m").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("m")
-    shared = found.join(spread, "m", "left_semi")
-    contexts = stored(shared.groupBy("m", "ctx").agg(F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-contexts")
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row of docs.
+
+    Rows are keyed by (doc_id, 64-bit hash of the text): equal rows share their anchors and results.
+    """
+    spark = docs.sparkSession
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("cid"), F.xxhash64("text").alias("th"), "text")
+    # Anchors are narrow and cheap to find again, so they are computed twice instead of stored: once to find the shared
+    # ones, once to keep their places.
+    spread = anchor_rows(rows, length, gram).groupBy("m").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
+    shared_m = stored(spread.select("m"), "lyndon-shared")
+    places = anchor_rows(rows, length, gram).join(shared_m, "m", "left_semi")
+    per_doc = places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at"))
+    texts = rows.groupBy("cid", "th").agg(F.first("text").alias("text")).join(per_doc, ["cid", "th"])
+    # Contexts are keyed by a 64-bit hash within their anchor from here on, so the bytes travel once.
+    wide = stored(contexts_of(texts, length, gram).withColumn("ch", F.xxhash64("ctx")), "lyndon-contexts")
+    del spread, places, per_doc, texts
+    _release(spark, shared_m)
+    contexts = stored(wide.groupBy("m", "ch").agg(F.first("ctx").alias("ctx"), F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-distinct")
+    found = stored(wide.select("m", "ch", "cid", "th", "start"), "lyndon-places")
+    _release(spark, wide)
     sizes = contexts.groupBy("m").agg(F.count("*").alias("n_ctx"))
-    small = contexts.join(sizes.where(F.col("n_ctx") <= most_contexts), "m", "left_semi")
+    one = contexts.join(sizes.where("n_ctx = 1"), "m", "left_semi")
+    small = contexts.join(sizes.where(F.col("n_ctx").between(2, most_contexts)), "m", "left_semi")
     large = contexts.join(sizes.where(F.col("n_ctx") > most_contexts), "m", "left_semi")
-
-    def per_anchor(f: pd.DataFrame) -> pd.DataFrame:
-        ctxs = [bytes(c) for c in f["ctx"]]
-        got = list(shared_strings(ctxs, f["low"].tolist(), f["high"].tolist(), length))
-        return pd.DataFrame({"m": pd.Series([int(f["m"].iloc[0])] * len(got), dtype="int64"), "ctx": pd.Series([ctxs[c] for c, _, _ in got], dtype="object"),
-                             "off": pd.Series([o for _, o, _ in got], dtype="int32"), "g": pd.Series([g for _, _, g in got], dtype="int64")})
-
-    by_suffixes = small.groupBy("m").applyInPandas(per_anchor, "m long, ctx binary, off int, g long")
+    # Hits are ranges of string starts (lo..hi within the context) that holders above g lose.
+    # One distinct context (copies of one passage): every string of it goes to its least holder, no suffix array needed.
+    by_one = one.where((F.col("low") < F.col("high")) & (F.length("ctx") >= length)).select(
+        "m", "ch", F.lit(0).alias("lo"), (F.length("ctx") - length).alias("hi"), F.col("low").alias("g"))
+    # Anchors with 2 to `most_contexts` contexts: one array per anchor, many anchors per Arrow batch.
+    grouped = small.groupBy("m").agg(F.collect_list(F.struct("ch", "ctx", "low", "high")).alias("cs"))
+
+    def per_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple[int, int, int, int, int]] = []
+            for m, members in zip(f["m"], f["cs"]):
+                ctxs = [bytes(x["ctx"]) for x in members]
+                found_here = sorted(shared_strings(ctxs, [x["low"] for x in members], [x["high"] for x in members], length))
+                for c, o, g in found_here:
+                    ch = members[c]["ch"]
+                    if out and out[-1][0] == m and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
+                        out[-1] = (m, ch, out[-1][2], o, g)
+                    else:
+                        out.append((m, ch, o, o, g))
+            yield pd.DataFrame(out, columns=["m", "ch", "lo", "hi", "g"]).astype({"m": "int32", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
+
+    by_suffixes = grouped.mapInPandas(per_anchor, "m int, ch long, lo int, hi int, g long")
     # Anchors with very many contexts: each string of each context, grouped by its bytes.
-    strings = large.select("m", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off")).where(F.length("ctx") >= length)
+    strings = large.select("m", "ch", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off")).where(F.length("ctx") >= length)
     strings = strings.withColumn("s", F.expr(f"substring(ctx, off + 1, {length})"))
     least = strings.groupBy("m", "s").agg(F.min("low").alias("g"))
-    by_bytes = strings.join(least, ["m", "s"]).where("g < high").select("m", "ctx", F.col("off").cast("int"), "g")
-    hits = stored(by_suffixes.unionByName(by_bytes), "lyndon-hits")
-    lost = shared.join(hits, ["m", "ctx"]).where("cid > g").select("rk", (F.col("start") + F.col("off")).alias("at")).distinct()
-    per_doc = lost.groupBy("rk").agg(F.collect_list("at").alias("starts"))
-    return _summaries(keyed.join(per_doc, "rk", "left"), length)
-
-
-def removed_mask(n: int, starts: list[int] | None, length: int = LENGTH) -> np.ndarray:
+    by_bytes = strings.join(least, ["m", "s"]).where("g < high").select("m", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
+    hits = stored(by_one.unionByName(by_suffixes).unionByName(by_bytes), "lyndon-hits")
+    del one, small, large, by_one, grouped, by_suffixes, strings, least, by_bytes, sizes
+    _release(spark, contexts)
+    lost = found.select("m", "ch", "cid", "th", "start").join(hits, ["m", "ch"]).where("cid > g").select(
+        "cid", "th", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).distinct()
+    per_lost = lost.groupBy("cid", "th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
+    return _summaries(rows.join(per_lost, ["cid", "th"], "left"), length)
+
+
+def _release(spark, table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished steps."""
+    for path in table.inputFiles()[:1]:
+        drop_folder(spark, path.rsplit("/", 1)[0])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def removed_mask(n: int, ranges: list | None, length: int = LENGTH) -> np.ndarray:
+    """Bytes covered by a `length`-byte string starting anywhere in one of the (a, b) ranges of starts, both ends included."""
     mask = np.zeros(n + 1, np.int32)
-    for s in starts or []:
-        mask[s] += 1
-        mask[min(n, s + length)] -= 1
+    for r in ranges or []:
+        mask[r["a"]] += 1
+        mask[min(n, r["b"] + length)] -= 1
     return np.cumsum(mask[:n]) > 0
 
 
