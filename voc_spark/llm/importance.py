@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voc_spark.llm.common import ascii_lower, carry, pick, text_of
+from voc_spark.llm.common import ascii_lower, carry, let, pick, text_of
 from voc_spark.llm.ranking import global_rank
 
 # Fixed values of the contract: the word pattern, the buckets, the seed of the draw and its share.
@@ -68,8 +68,12 @@ def _runs_of(words: Column, n: int) -> Column:
 
 
 def _features_column(words: Column, low: int, high: int) -> Column:
-    parts = [_runs_of(words, n) for n in range(low, high + 1)]
-    return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
+    """Features of the words, which are computed once (a bound variable), not once per feature."""
+    def body(ws: Column) -> Column:
+        parts = [ws if n == 1 else _runs_of(ws, n) for n in range(low, high + 1)]
+        return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
+
+    return let(words, body)
 
 
 def _bucket(feature: Column, buckets: int) -> Column:
