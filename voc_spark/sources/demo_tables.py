@@ -15,7 +15,7 @@ from voc_spark.operators.counts import feedback_cube
 from voc_spark.operators.joins import counting_view
 from voc_spark.operators.prep import review_key
 from voc_spark.session import shared_dir
-from voc_spark.sources.parquet import ID_LOOKUP
+from voc_spark.sources.parquet import ID_LOOKUP, scratch, stored
 from voc_spark.taxonomy import FEEDBACK_CATEGORIES
 
 Q1_END = "1997-03-31"
@@ -58,33 +58,64 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = source(spark, sf_dir, "lineitem")
-    orders = source(spark, sf_dir, "orders")
-    parts = source(spark, sf_dir, "part")
+# Columns of a raw review that come from the line item and its order, and from its part.
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_shipdate"]
+PART_COLUMNS = ["p_partkey", "p_type", "p_name"]
+RAW_ORDER = ["timestamp", "l_orderkey", "l_linenumber", "l_extendedprice"]
+
+
+def _lines(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Line items of the given orders with the customer, as stored; what follows from these columns is derived after the shuffles."""
+    items = source(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
+    return items.join(orders, items.l_orderkey == orders.o_orderkey).select(*LINE_COLUMNS, "o_custkey")
+
+
+def _raw_timestamp() -> Column:
     offset = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 3571) % 86400
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(parts, items.l_partkey == parts.p_partkey)
+    return ts_to_epoch_ms(F.timestamp_add("SECOND", offset.cast("int"), F.col("l_shipdate").cast("timestamp_ntz")))
+
+
+def _raw(joined: DataFrame) -> DataFrame:
     return joined.select(
         F.col("p_partkey").cast("string").alias("asin"),
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("p_type").alias("product_category"),
         F.col("p_name").alias("product_title"),
         (1 + F.col("l_quantity").cast("int") % 9 * 0.5).cast("double").alias("rating"),
-        ts_to_epoch_ms(F.timestamp_add("SECOND", offset.cast("int"), F.col("l_shipdate").cast("timestamp_ntz"))).alias("timestamp"),
+        _raw_timestamp().alias("timestamp"),
         (F.col("l_linestatus") == "F").alias("verified_purchase"),
         F.concat(by_number(F.col("l_orderkey"), PHRASES), F.lit(" "), "p_name").alias("text"),
         "l_orderkey", "l_linenumber", "l_extendedprice",
     )
 
 
-def _build_reviews(raw: DataFrame) -> DataFrame:
-    first = Window.partitionBy("review_id").orderBy("timestamp", "l_orderkey", "l_linenumber", "l_extendedprice")
+def _build_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir, source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    parts = source(spark, sf_dir, "part").select(*PART_COLUMNS)
+    return _raw(lines.join(parts, lines.l_partkey == parts.p_partkey))
+
+
+def _build_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First raw review of every key, found on the line items before their texts exist.
+
+    A key is a part and a customer. Line items are clustered by part once, which serves the choice per key and the join
+    with the part: the texts are in no shuffle. Without a customer there is no key, and of all such rows one is kept.
+    """
+    orders = source(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    parts = source(spark, sf_dir, "part").select(*PART_COLUMNS)
+    lines = _lines(spark, sf_dir, orders.where("o_custkey IS NOT NULL")).where("l_partkey IS NOT NULL").repartition("l_partkey")
+    first = Window.partitionBy("l_partkey", "o_custkey").orderBy(*RAW_ORDER)
+    kept = lines.withColumn("timestamp", _raw_timestamp()).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "timestamp")
+    one_each = parts.groupBy("p_partkey").agg(F.min(F.struct("p_type", "p_name")).alias("p")).select("p_partkey", "p.*")
+    keyed = _raw(kept.join(one_each, kept.l_partkey == one_each.p_partkey))
+    # Stored for its size: usually few or none, so the line items are not shuffled for them.
+    nobody = _lines(spark, sf_dir, stored(orders.where("o_custkey IS NULL"), "orders-no-customer"))
+    keyless = _raw(nobody.join(parts, nobody.l_partkey == parts.p_partkey)).orderBy(*RAW_ORDER).limit(1)
     ts = epoch_ms_to_ts(F.col("timestamp"))
     return (
-        raw.withColumn("review_id", review_key())
-        .withColumn("rn", F.row_number().over(first)).where("rn = 1")
+        keyed.unionByName(keyless)
         .select(
-            "review_id", "product_category", "product_title", F.col("text").alias("review_text"), "rating",
+            review_key().alias("review_id"), "product_category", "product_title", F.col("text").alias("review_text"), "rating",
             ts.alias("review_ts"),
             F.when(F.col("l_orderkey") % 997 != 0, ts).alias("review_date"),
             F.when(ts <= ntz(Q1_END), "Q1").otherwise("Q2").alias("quarter"),
@@ -123,7 +154,8 @@ def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     path = f"{shared_dir(spark)}/voc-tables/{tag}/{name}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        BUILDERS[name](spark, sf_dir).write.mode("overwrite").options(**ID_LOOKUP).parquet(path)
+        with scratch(spark):
+            BUILDERS[name](spark, sf_dir).write.mode("overwrite").options(**ID_LOOKUP, compression="zstd").parquet(path)
     return path
 
 
@@ -149,7 +181,7 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUILDERS = {
     "raw_reviews": _build_raw,
-    "reviews": lambda spark, sf_dir: _build_reviews(raw_reviews(spark, sf_dir)),
+    "reviews": _build_reviews,
     "classifications": lambda spark, sf_dir: _build_classifications(reviews(spark, sf_dir)),
     "feedback_cube": lambda spark, sf_dir: feedback_cube(counting_view(reviews(spark, sf_dir), classifications(spark, sf_dir))),
 }
