@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import rows
+from tests.conftest import plan, rows
 from voc_spark import schemas
 from voc_spark.operators import constraints, ingest
 from voc_spark.session import fresh_dir
@@ -101,3 +101,15 @@ def test_classification_json(spark, raw, problem):
     assert row.feedback_category == ("Not As Described" if problem is None else None)
     filled = constraints.with_fallback(constraints.validate_classification_json(df)).first()
     assert filled.feedback_category == ("Not As Described" if problem is None else "Insufficient Context")
+
+
+def test_upsert_ranks_only_rows_whose_key_comes_again(spark):
+    """Rows with a key of their own are neither shuffled whole nor ranked: the ranking reads the few repeated keys."""
+    schema = "window_label string, total_reviews bigint, narrative string"
+    incoming = spark.createDataFrame([(f"w{i % 990}", i, "text " * 50) for i in range(1000)] + [(None, 1, "x")], schema)
+    got = ingest.upsert(incoming, spark.createDataFrame([("w1", 5, "old"), ("kept", 6, "old")], schema))
+    assert {r.window_label: r.total_reviews for r in got.collect()} == {**{f"w{i}": 990 + i if i < 10 else i for i in range(990)}, "kept": 6}
+    assert got.count() == 991
+    physical = plan(got)
+    physical = physical[physical.index("== Physical Plan =="):]
+    assert "LeftSemi, BuildRight" in physical[physical.index("Window"):]
