@@ -162,6 +162,31 @@ def test_shared_strings_of_equal_contexts():
     assert got == [(0, 0, 3), (1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 0, 3), (2, 1, 5), (2, 2, 5)]
 
 
+def test_contexts_that_share_no_string_get_arrays_of_their_own():
+    """Only contexts that agree in 50 bytes around the anchor come together, and what is shared is the same as in one array over all."""
+    rnd = random.Random(11)
+    some = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    anchor, left, right = some(16), some(34), some(34)
+    ctxs = [left + anchor + right, some(34) + anchor + some(34), left[:16] + b"#" + left[17:] + anchor + right, left + anchor + some(34),
+            left[20:] + anchor + right, some(34) + anchor + right[:20], left[17:] + anchor + right[:17]]
+    offs = [c.index(anchor) for c in ctxs]
+    parts = lyndon_dedup.alike(ctxs, offs)
+    assert sorted(map(sorted, parts)) == [[0, 2, 3, 4, 5, 6], [1]]
+    lows, highs = list(range(7)), [5, 9, 2, 3, 4, 5, 6]
+    apart = [(p[c], o, g) for p in parts for c, o, g in shared_strings([ctxs[j] for j in p], [lows[j] for j in p], [highs[j] for j in p])]
+    assert sorted(apart) == sorted(shared_strings(ctxs, lows, highs)) and len(apart) > 35
+
+
+def test_dedup_of_ids_with_several_texts(spark):
+    """Only ids with several texts are told apart by the text's hash."""
+    r = random.Random(12)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    one, two = words(20), words(20)
+    rows = [(1, one), (2, two), (2, one + two), (2, one + two), (3, one), (None, two), (None, words(20)), (None, None), (4, None)]
+    got = sorted((tuple(x) for x in lyndon_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(plain_dedup(rows), key=repr)
+
+
 def test_dedup_equals_plain(spark, planted):
     rows = planted_rows()
     got = sorted((tuple(r) for r in lyndon_dedup.dedup(planted).collect()), key=repr)

@@ -14,7 +14,8 @@ steps without recursion: suffixes are grouped by their Lyndon prefix (up to the
 of previous- and next-smaller pointers; a context bounds it), the groups are ordered by that prefix, and one left-to-right
 pass over the array puts each suffix's chain of previous-smaller suffixes at the front of their groups, which fixes the order
 inside every group. Adjacent suffixes that agree in `length` bytes within their context form the runs of one string; the
-least doc_id of a run decides which holders lose those bytes. An anchor with one distinct context (copies of one passage)
+least doc_id of a run decides which holders lose those bytes. Contexts of one anchor that agree in too few bytes around it to
+share a string get arrays of their own. An anchor with one distinct context (copies of one passage)
 needs no array: all its strings go to its least holder, in Spark functions. Anchors with up to `most_contexts` contexts are
 collected one array each and passed many to an Arrow batch; an anchor with more goes an exact way instead: its strings
 are grouped by their bytes in Spark, with the same result.
@@ -22,7 +23,7 @@ are grouped by their bytes in Spark, with the same result.
 Edge cases: a null text is empty; texts shorter than `length` keep all bytes. A null doc_id is larger than every doc_id
 and never smaller than another null one, so such rows lose bytes to any document and take none. Rows with equal doc_id
 do not remove each other's bytes. An empty table gives an empty result; other columns are ignored. Rows are keyed by
-(doc_id, 64-bit text hash) and contexts by a 64-bit hash within their anchor: two different texts or contexts that share
+their doc_id, where it has several texts also by a 64-bit text hash, and contexts by a 64-bit hash within their anchor: two different texts or contexts that share
 both would be taken as one (odds about n^2 / 2^64).
 """
 
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voc_spark.llm.common import carry, pick
+from voc_spark.llm.common import carry, lean, pick
 from voc_spark.sources.parquet import drop_folder, stored
 
 # Fixed value of the contract: the length of a removed string in bytes.
@@ -47,6 +48,8 @@ GRAM, MOST_CONTEXTS = 16, 4096
 #: Grams of a document whose least ones are found at once (positions must fit in 16 bits).
 PIECE = 1 << 15
 NO_ID = (1 << 63) - 1
+#: Stored tables hold overlapping contexts and rising ids, which pack well.
+PACKED = {"compression": "zstd"}
 _TOP = np.uint64(0xFFFFFFFFFFFF0000)
 
 carry(__name__)
@@ -109,12 +112,12 @@ def anchor_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def contexts_of(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(m, cid, th, start, ctx) for the listed anchors (m, pos) of each row of (cid, th, text, at)."""
+    """(m, cid, th, start, off, ctx) for the listed anchors (m, pos) of each row of (cid, th, text, at); off is the anchor's place in its context."""
     reach = length - gram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ms, cids, ths, starts, ctxs = [], [], [], [], []
+            ms, cids, ths, starts, offs, ctxs = [], [], [], [], [], []
             for cid, th, text, at in zip(f["cid"], f["th"], f["text"], f["at"]):
                 data = (text or "").encode("utf-8")
                 for anchor in at:
@@ -124,40 +127,33 @@ def contexts_of(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                     cids.append(cid)
                     ths.append(th)
                     starts.append(a)
+                    offs.append(p - a)
                     ctxs.append(data[a:p + length])
             yield pd.DataFrame({"m": pd.Series(ms, dtype="int32"), "cid": pd.Series(cids, dtype="int64"), "th": pd.Series(ths, dtype="int64"),
-                                "start": pd.Series(starts, dtype="int32"), "ctx": pd.Series(ctxs, dtype="object")})
+                                "start": pd.Series(starts, dtype="int32"),
+                                "off": pd.Series(offs, dtype="int8"), "ctx": pd.Series(ctxs, dtype="object")})
 
-    return texts.mapInPandas(run, "m int, cid long, th long, start int, ctx binary")
+    return texts.mapInPandas(run, "m int, cid long, th long, start int, off byte, ctx binary")
 
 
-def suffix_array(t: list[int], ends: list[int]) -> list[int]:
+def suffix_array(t: list[int] | str, ends: list[int]) -> list[int]:
     """Suffix array of t, whose last symbol is the unique least; `ends[i]` is the first separator at or after i.
 
     Every separator is unique and smaller than every other symbol, so two suffixes compare within their own context.
+    Symbols are held as the characters of one string: slices of it are compared and hashed whole.
     """
-    n = len(t)
-
-    def key(i: int) -> list[int]:
-        return t[i:ends[i] + 1]
-
+    n, text = len(t), t if isinstance(t, str) else "".join(map(chr, t))
+    keys = [text[i:e + 1] for i, e in enumerate(ends)]
     nss, pss = [n] * n, [-1] * n
     stack: list[int] = []
-    for i in range(n - 1, -1, -1):
-        k = key(i)
-        while stack and key(stack[-1]) > k:
-            stack.pop()
-        nss[i] = stack[-1] if stack else n
-        stack.append(i)
-    stack = []
-    for i in range(n):
-        k = key(i)
-        while stack and key(stack[-1]) > k:
-            stack.pop()
-        pss[i] = stack[-1] if stack else -1
+    for i, k in enumerate(keys):
+        while stack and keys[stack[-1]] > k:
+            nss[stack.pop()] = i
+        if stack:
+            pss[i] = stack[-1]
         stack.append(i)
     # Groups: suffixes of equal Lyndon prefix t[i:nss[i]], ordered by that prefix.
-    prefixes = [tuple(t[i:nss[i]]) for i in range(n)]
+    prefixes = [text[i:e] for i, e in enumerate(nss)]
     rank = {p: r for r, p in enumerate(sorted(set(prefixes)))}
     group = [rank[p] for p in prefixes]
     front = [0] * (len(rank) + 1)
@@ -172,8 +168,8 @@ def suffix_array(t: list[int], ends: list[int]) -> list[int]:
     # Suffixes whose next smaller suffix is s follow s: the chain s-1, pss(s-1), ... down to pss(s).
     for i in range(n):
         s = sa[i]
-        p = s - 1
-        while p >= 0 and p != pss[s]:
+        p, stop = s - 1, pss[s]
+        while p >= 0 and p != stop:
             g = group[p]
             sa[front[g]] = p
             front[g] += 1
@@ -181,6 +177,35 @@ def suffix_array(t: list[int], ends: list[int]) -> list[int]:
     return sa
 
 
+def alike(ctxs: list[bytes], offs: list[int], length: int = LENGTH, gram: int = GRAM) -> list[list[int]]:
+    """The contexts of one anchor in parts; no string anchored here is in contexts of two parts.
+
+    A string has its anchor at the same place wherever it stands and holds half of its other bytes before or behind it:
+    contexts that agree neither in that much before nor behind their anchor share no string.
+    """
+    half = (length - gram) // 2
+    root = list(range(len(ctxs)))
+    seen: dict[tuple[bool, bytes], int] = {}
+    for j, (c, off) in enumerate(zip(ctxs, offs)):
+        for key in ((True, c[off - half:off + gram]) if off >= half else None, (False, c[off:off + gram + half]) if off + gram + half <= len(c) else None):
+            if key is None:
+                continue
+            a, b = seen.setdefault(key, j), j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+    parts: dict[int, list[int]] = {}
+    for j in range(len(ctxs)):
+        a = j
+        while root[a] != a:
+            a = root[a]
+        root[j] = a
+        parts.setdefault(a, []).append(j)
+    return list(parts.values())
+
+
 def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(context, offset, least doc_id) for each `length`-byte string of the contexts that some holder loses.
 
@@ -191,17 +216,18 @@ def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length:
         if lows[0] < highs[0]:
             yield from ((0, off, lows[0]) for off in range(len(ctxs[0]) - length + 1))
         return
-    t: list[int] = []
+    symbol = [chr(b + k) for b in range(256)]
+    parts: list[str] = []
     ends: list[int] = []
     owner: list[int] = []
     begin: list[int] = []
     for j, c in enumerate(ctxs):
-        begin.append(len(t))
-        sep = len(t) + len(c)
-        t.extend(b + k for b in c)
-        t.append(k - 1 - j)  # unique separators, decreasing, the last one 0
-        ends.extend([sep] * (len(c) + 1))
+        begin.append(len(ends))
+        parts += map(symbol.__getitem__, c)
+        parts.append(chr(k - 1 - j))  # unique separators, decreasing, the last one 0
+        ends.extend([begin[j] + len(c)] * (len(c) + 1))
         owner.extend([j] * (len(c) + 1))
+    t = "".join(parts)
     sa = suffix_array(t, ends)
     i = 0
     while i < len(sa):
@@ -224,67 +250,76 @@ def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row of docs.
 
-    Rows are keyed by (doc_id, 64-bit hash of the text): equal rows share their anchors and results.
+    Rows are keyed by doc_id and, where an id has several texts, a 64-bit hash of the text: equal rows share their anchors and results.
     """
     spark = docs.sparkSession
-    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("cid"), F.xxhash64("text").alias("th"), "text")
-    # Anchors are narrow and cheap to find again, so they are computed twice instead of stored: once to find the shared
-    # ones, once to keep their places.
-    spread = anchor_rows(rows, length, gram).groupBy("m").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    shared_m = stored(spread.select("m"), "lyndon-shared")
-    places = anchor_rows(rows, length, gram).join(shared_m, "m", "left_semi")
-    per_doc = places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at"))
-    texts = rows.groupBy("cid", "th").agg(F.first("text").alias("text")).join(per_doc, ["cid", "th"])
-    # Contexts are keyed by a 64-bit hash within their anchor from here on, so the bytes travel once.
-    wide = stored(contexts_of(texts, length, gram).withColumn("ch", F.xxhash64("ctx")), "lyndon-contexts")
-    del spread, places, per_doc, texts
-    _release(spark, shared_m)
-    contexts = stored(wide.groupBy("m", "ch").agg(F.first("ctx").alias("ctx"), F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-distinct")
-    found = stored(wide.select("m", "ch", "cid", "th", "start"), "lyndon-places")
-    _release(spark, wide)
-    sizes = contexts.groupBy("m").agg(F.count("*").alias("n_ctx"))
-    one = contexts.join(sizes.where("n_ctx = 1"), "m", "left_semi")
-    small = contexts.join(sizes.where(F.col("n_ctx").between(2, most_contexts)), "m", "left_semi")
-    large = contexts.join(sizes.where(F.col("n_ctx") > most_contexts), "m", "left_semi")
-    # Hits are ranges of string starts (lo..hi within the context) that holders above g lose.
-    # One distinct context (copies of one passage): every string of it goes to its least holder, no suffix array needed.
-    by_one = one.where((F.col("low") < F.col("high")) & (F.length("ctx") >= length)).select(
-        "m", "ch", F.lit(0).alias("lo"), (F.length("ctx") - length).alias("hi"), F.col("low").alias("g"))
-    # Anchors with 2 to `most_contexts` contexts: one array per anchor, many anchors per Arrow batch.
-    grouped = small.groupBy("m").agg(F.collect_list(F.struct("ch", "ctx", "low", "high")).alias("cs"))
-
-    def per_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out: list[tuple[int, int, int, int, int]] = []
-            for m, members in zip(f["m"], f["cs"]):
-                ctxs = [bytes(x["ctx"]) for x in members]
-                found_here = sorted(shared_strings(ctxs, [x["low"] for x in members], [x["high"] for x in members], length))
-                for c, o, g in found_here:
-                    ch = members[c]["ch"]
-                    if out and out[-1][0] == m and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
-                        out[-1] = (m, ch, out[-1][2], o, g)
-                    else:
-                        out.append((m, ch, o, o, g))
-            yield pd.DataFrame(out, columns=["m", "ch", "lo", "hi", "g"]).astype({"m": "int32", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
-
-    by_suffixes = grouped.mapInPandas(per_anchor, "m int, ch long, lo int, hi int, g long")
-    # Anchors with very many contexts: each string of each context, grouped by its bytes.
-    strings = large.select("m", "ch", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off")).where(F.length("ctx") >= length)
-    strings = strings.withColumn("s", F.expr(f"substring(ctx, off + 1, {length})"))
-    least = strings.groupBy("m", "s").agg(F.min("low").alias("g"))
-    by_bytes = strings.join(least, ["m", "s"]).where("g < high").select("m", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
-    hits = stored(by_one.unionByName(by_suffixes).unionByName(by_bytes), "lyndon-hits")
-    del one, small, large, by_one, grouped, by_suffixes, strings, least, by_bytes, sizes
-    _release(spark, contexts)
+    with lean(spark):
+        rows = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("cid"), F.xxhash64("text").alias("th"), "text")
+        # Only where one id has several texts their hash is needed; elsewhere it is 0, which takes no room in the shuffles of the anchors.
+        several = stored(rows.groupBy("cid").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("cid", F.lit(True).alias("several")), "lyndon-several")
+        rows = rows.join(several, "cid", "left").select("doc_id", "cid", F.when(F.col("several"), F.col("th")).otherwise(0).cast("long").alias("th"), "text")
+        # Anchors are narrow and cheap to find again, so they are computed twice instead of stored: once to find the shared
+        # ones, once to keep their places.
+        spread = anchor_rows(rows, length, gram).groupBy("m").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
+        shared_m = stored(spread.select("m"), "lyndon-shared", **PACKED)
+        del spread
+        _release(spark)
+        places = anchor_rows(rows, length, gram).join(shared_m, "m", "left_semi")
+        per_doc = places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at"))
+        texts = rows.groupBy("cid", "th").agg(F.first("text").alias("text")).join(per_doc, ["cid", "th"])
+        # Contexts are keyed by a 64-bit hash within their anchor from here on, so the bytes travel once.
+        wide = stored(contexts_of(texts, length, gram).withColumn("ch", F.xxhash64("ctx", "off")), "lyndon-contexts", **PACKED)
+        del places, per_doc, texts
+        _release(spark, shared_m)
+        contexts = stored(wide.groupBy("m", "ch").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-distinct", **PACKED)
+        found = stored(wide.select("m", "ch", "cid", "th", "start"), "lyndon-places", **PACKED)
+        _release(spark, wide)
+        sizes = contexts.groupBy("m").agg(F.count("*").alias("n_ctx"))
+        one = contexts.join(sizes.where("n_ctx = 1"), "m", "left_semi")
+        small = contexts.join(sizes.where(F.col("n_ctx").between(2, most_contexts)), "m", "left_semi")
+        large = contexts.join(sizes.where(F.col("n_ctx") > most_contexts), "m", "left_semi")
+        # Hits are ranges of string starts (lo..hi within the context) that holders above g lose.
+        # One distinct context (copies of one passage): every string of it goes to its least holder, no suffix array needed.
+        by_one = one.where((F.col("low") < F.col("high")) & (F.length("ctx") >= length)).select(
+            "m", "ch", F.lit(0).alias("lo"), (F.length("ctx") - length).alias("hi"), F.col("low").alias("g"))
+        # Anchors with 2 to `most_contexts` contexts: one array per anchor, many anchors per Arrow batch.
+        grouped = small.groupBy("m").agg(F.collect_list(F.struct("ch", "ctx", "off", "low", "high")).alias("cs"))
+
+        def per_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out: list[tuple[int, int, int, int, int]] = []
+                for m, members in zip(f["m"], f["cs"]):
+                    ctxs = [bytes(x["ctx"]) for x in members]
+                    found_here = []
+                    for part in alike(ctxs, [x["off"] for x in members], length, gram):
+                        hits = shared_strings([ctxs[j] for j in part], [members[j]["low"] for j in part], [members[j]["high"] for j in part], length)
+                        found_here += [(part[c], o, g) for c, o, g in hits]
+                    for c, o, g in sorted(found_here):
+                        ch = members[c]["ch"]
+                        if out and out[-1][0] == m and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
+                            out[-1] = (m, ch, out[-1][2], o, g)
+                        else:
+                            out.append((m, ch, o, o, g))
+                yield pd.DataFrame(out, columns=["m", "ch", "lo", "hi", "g"]).astype({"m": "int32", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
+
+        by_suffixes = grouped.mapInPandas(per_anchor, "m int, ch long, lo int, hi int, g long")
+        # Anchors with very many contexts: each string of each context, grouped by its bytes.
+        strings = large.select("m", "ch", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off")).where(F.length("ctx") >= length)
+        strings = strings.withColumn("s", F.expr(f"substring(ctx, off + 1, {length})"))
+        least = strings.groupBy("m", "s").agg(F.min("low").alias("g"))
+        by_bytes = strings.join(least, ["m", "s"]).where("g < high").select("m", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
+        hits = stored(by_one.unionByName(by_suffixes).unionByName(by_bytes), "lyndon-hits", **PACKED)
+        del one, small, large, by_one, grouped, by_suffixes, strings, least, by_bytes, sizes
+        _release(spark, contexts)
     lost = found.select("m", "ch", "cid", "th", "start").join(hits, ["m", "ch"]).where("cid > g").select(
         "cid", "th", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).distinct()
     per_lost = lost.groupBy("cid", "th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     return _summaries(rows.join(per_lost, ["cid", "th"], "left"), length)
 
 
-def _release(spark, table: DataFrame) -> None:
-    """Delete a stored table that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished steps."""
-    for path in table.inputFiles()[:1]:
+def _release(spark, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished steps."""
+    for path in (p for t in tables for p in t.inputFiles()[:1]):
         drop_folder(spark, path.rsplit("/", 1)[0])
     gc.collect()
     spark.sparkContext._jvm.System.gc()
