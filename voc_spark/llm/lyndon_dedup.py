@@ -265,12 +265,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
         del spread
         _release(spark)
         places = anchor_rows(rows, length, gram).join(shared_m, "m", "left_semi")
-        per_doc = places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at"))
+        # Stored, so that the shuffled anchors are gone before texts and contexts take room.
+        per_doc = stored(places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at")), "lyndon-anchors", **PACKED)
+        _release(spark, shared_m)
         texts = rows.groupBy("cid", "th").agg(F.first("text").alias("text")).join(per_doc, ["cid", "th"])
         # Contexts are keyed by a 64-bit hash within their anchor from here on, so the bytes travel once.
         wide = stored(contexts_of(texts, length, gram).withColumn("ch", F.xxhash64("ctx", "off")), "lyndon-contexts", **PACKED)
-        del places, per_doc, texts
-        _release(spark, shared_m)
+        del places, texts
+        _release(spark, per_doc)
         contexts = stored(wide.groupBy("m", "ch").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-distinct", **PACKED)
         found = stored(wide.select("m", "ch", "cid", "th", "start"), "lyndon-places", **PACKED)
         _release(spark, wide)
