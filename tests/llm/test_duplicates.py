@@ -243,11 +243,11 @@ def test_passage_repeated_inside_documents(spark):
 
 
 def test_links_between_documents_far_apart_in_a_run(spark):
-    """All documents share 40 words, too few for a passage, so their windows stand in the same runs in order of doc_id; copies are 40 rows apart."""
-    r = random.Random(21)
+    """All documents share 46 words, too few for a passage, so their windows stand in the same runs in order of doc_id; copies are 40 rows apart."""
+    r = random.Random(580)
     words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
-    common = words(40)
-    texts = [" ".join(words(10) + common + words(10)) for _ in range(40)]
+    common = words(46)
+    texts = [" ".join(words(5) + common + words(5)) for _ in range(40)]
     got = cw.passages(spark.createDataFrame([(d, texts[d % 40]) for d in range(80)], "doc_id long, text string")).collect()
     assert sorted((x.doc_a, x.doc_b) for x in got) == [(d, d + 40) for d in range(40)]
 
