@@ -32,6 +32,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,8 @@ GRAM, MOST_CONTEXTS = 16, 4096
 #: Grams of a document whose least ones are found at once (positions must fit in 16 bits).
 PIECE = 1 << 15
 NO_ID = (1 << 63) - 1
+#: The places of shared cores are found in so many passes, each over one part of the cores: a pass shuffles that part only.
+PARTS = 2
 #: Stored tables hold overlapping contexts and rising ids, which pack well.
 PACKED = {"compression": "zstd"}
 _TOP = np.uint64(0xFFFFFFFFFFFF0000)
@@ -57,83 +60,121 @@ carry(__name__)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
-    """A 64-bit hash of every gram of the bytes: a polynomial over prefix sums, then mixed; O(1) work per byte."""
-    arr = np.frombuffer(data, np.uint8).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(arr), _MIX, np.uint64), dtype=np.uint64)  # MIX^(i+1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((arr + np.uint64(1)) * powers, dtype=np.uint64)])
-        # sum of b[i+k] * MIX^(i+k+1) over the gram, times MIX^-(i) to shift it to the same origin (MIX is odd: invertible mod 2^64)
-        inverse = np.uint64(pow(int(_MIX), -1, 1 << 64))
-        shifts = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(arr) - gram, inverse, np.uint64)]), dtype=np.uint64)
-        h = (sums[gram:] - sums[:-gram]) * shifts
-        h ^= h >> np.uint64(31)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def anchors(hashes: np.ndarray, n: int, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Start of the leftmost least gram of every `length`-byte string of n bytes with these gram hashes, each once, in order.
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 18
+UNIT = "k long, ch long, cid long, th long, start int, n int, off int, wide int"
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MIX^(i+1) and MIX^-i modulo 2^64 (MIX is odd, so it has an inverse)."""
+    inverse = np.uint64(pow(int(_MIX), -1, 1 << 64))
+    return (np.cumprod(np.full(n, _MIX, np.uint64), dtype=np.uint64),
+            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]), dtype=np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def least_grams(hashes: np.ndarray, count: int, span: int) -> np.ndarray:
+    """For each of `count` starts the leftmost least of the `span` gram hashes from there: the anchor of the string that starts there.
 
     Grams are ordered by the top 48 bits of their hash, then by place; sliding minima by blocks (van Herk), no loop per byte.
     """
-    span, count = length - gram + 1, n - length + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    found = []
+    found = np.empty(count, np.int64)
     for a in range(0, count, PIECE):
         b = min(count, a + PIECE)
         x = (hashes[a:b + span - 1] & _TOP) | np.arange(b + span - 1 - a, dtype=np.uint64)
         blocks = np.concatenate([x, np.full((-len(x)) % span, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[:b - a], ahead[span - 1:span - 1 + b - a])
-        found.append((least & np.uint64(0xFFFF)).astype(np.int64) + a)
-    return np.unique(np.concatenate(found))
+        found[a:b] = (np.minimum(behind[:b - a], ahead[span - 1:span - 1 + b - a]) & np.uint64(0xFFFF)).astype(np.int64) + a
+    return found
+
 
+def units(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, powers: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The units of some texts: maximal runs of strings with one anchor and the same longer side of it.
+
+    `doc` is the text's index, `start` the first string's start and `n` their number. All of them hold the unit's core, `wide` bytes that begin `off` bytes
+    after `start`: the anchor with the half of the other bytes before it, or the rest behind it. `k` is the core's hash, `ch` that of the unit's bytes.
+    """
+    data, half = b"".join(texts), (length - gram) // 2
+    names = ("doc", "start", "n", "off", "wide", "k", "ch")
+    if len(data) < length:
+        return {name: np.zeros(0, np.int64) for name in names}
+    arr = np.frombuffer(data, np.uint8).astype(np.uint64)
+    power, inverse = powers if powers is not None and len(powers[0]) >= len(arr) else _powers(len(arr))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((arr + np.uint64(1)) * power[:len(arr)], dtype=np.uint64)])
+    hashes = _mixed((sums[gram:] - sums[:-gram]) * inverse[:len(arr) - gram + 1])
+    count = len(arr) - length + 1
+    at = least_grams(hashes, count, length - gram + 1)
+    before = at - np.arange(count) >= half
+    code = at * 2 + before
+    # Strings do not go over the end of their text.
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    outside = (ends[:, None] - np.arange(1, length)[None, :])[np.arange(1, length)[None, :] <= sizes[:, None]]
+    code[outside[outside < count]] = -1
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    n = np.diff(np.append(first, count))
+    inside = code[first] >= 0
+    first, n = first[inside], n[inside]
+    at, before = at[first], before[first]
+    lo, hi = np.where(before, at - half, at), np.where(before, at + gram, at + length - half + 1)
+    part = lambda a, b: (sums[b] - sums[a]) * inverse[a]
+    k = _mixed(part(lo, hi) + before)
+    ch = _mixed(part(first, first + n - 1 + length) * _MIX + (n * 64 + lo - first).astype(np.uint64))
+    doc = np.searchsorted(ends, first, side="right")
+    return dict(zip(names, (doc, first - (ends - sizes)[doc], n, lo - first, hi - lo, k.view(np.int64), ch.view(np.int64))))
+
+
+def _chunks(f: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+    """The rows of a batch in parts of about CHUNK bytes, with their texts."""
+    held, size, a = [], 0, 0
+    for b, text in enumerate(f["text"], 1):
+        held.append((text or "").encode("utf-8"))
+        size += len(held[-1])
+        if size >= CHUNK or b == len(f):
+            yield f.iloc[a:b], held
+            held, size, a = [], 0, b
+
+
+def unit_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, narrow: bool = False, part: int = 0, parts: int = 1) -> DataFrame:
+    """The units of every row of (cid, th, text), of which `k` modulo `parts` is `part`; `narrow` leaves (k, cid)."""
+    columns = ("k", "cid") if narrow else ("k", "ch", "cid", "th", "start", "n", "off", "wide")
 
-def anchor_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(m, cid, th, pos): every anchor of every row of (cid, th, text); m is the top half of the anchor gram's hash."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = _powers(2 * CHUNK)
         for f in frames:
-            parts = []
-            for cid, th, text in zip(f["cid"], f["th"], f["text"]):
-                data = (text or "").encode("utf-8")
-                if len(data) < length:
-                    continue
-                hashes = _gram_hashes(data, gram)
-                at = anchors(hashes, len(data), length, gram)
-                parts.append(pd.DataFrame({"m": (hashes[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), "cid": cid, "th": th, "pos": at.astype(np.int32)}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"m": pd.Series([], dtype="int32"), "cid": pd.Series([], dtype="int64"),
-                                                                "th": pd.Series([], dtype="int64"), "pos": pd.Series([], dtype="int32")})
+            for rows_here, texts in _chunks(f):
+                u = units(texts, length, gram, powers)
+                if parts > 1:
+                    chosen = np.flatnonzero(u["k"] % parts == part)
+                    u = {name: v[chosen] for name, v in u.items()}
+                doc = u.pop("doc")
+                u |= {name: rows_here[name].to_numpy()[doc] for name in ("cid", "th")}
+                yield pd.DataFrame({name: u[name].astype(np.int64 if name in ("k", "ch", "cid", "th") else np.int32, copy=False) for name in columns})
 
-    return rows.select("cid", "th", "text").mapInPandas(run, "m int, cid long, th long, pos int")
+    return rows.select("cid", "th", "text").mapInPandas(run, "k long, cid long" if narrow else UNIT)
 
 
-def contexts_of(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(m, cid, th, start, off, ctx) for the listed anchors (m, pos) of each row of (cid, th, text, at); off is the anchor's place in its context."""
-    reach = length - gram
+def contexts_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The bytes `ctx` of the contexts that each row of (text, asked) is asked for."""
+    kept = ("k", "ch", "off", "wide", "low", "high", "n_ctx")
+    out = "k long, ch long, off int, wide int, low long, high long, n_ctx long, ctx binary"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ms, cids, ths, starts, offs, ctxs = [], [], [], [], [], []
-            for cid, th, text, at in zip(f["cid"], f["th"], f["text"], f["at"]):
+            found: list[tuple] = []
+            for text, asked in zip(f["text"], f["asked"]):
                 data = (text or "").encode("utf-8")
-                for anchor in at:
-                    m, p = anchor["m"], anchor["pos"]
-                    a = max(0, p - reach)
-                    ms.append(m)
-                    cids.append(cid)
-                    ths.append(th)
-                    starts.append(a)
-                    offs.append(p - a)
-                    ctxs.append(data[a:p + length])
-            yield pd.DataFrame({"m": pd.Series(ms, dtype="int32"), "cid": pd.Series(cids, dtype="int64"), "th": pd.Series(ths, dtype="int64"),
-                                "start": pd.Series(starts, dtype="int32"),
-                                "off": pd.Series(offs, dtype="int8"), "ctx": pd.Series(ctxs, dtype="object")})
-
-    return texts.mapInPandas(run, "m int, cid long, th long, start int, off byte, ctx binary")
+                found += [(*(x[name] for name in kept), data[x["start"]:x["start"] + x["n"] - 1 + length]) for x in asked]
+            frame = pd.DataFrame(found, columns=[*kept, "ctx"])
+            yield frame.astype({name: "int32" if name in ("off", "wide") else "int64" for name in kept})
+
+    return texts.mapInPandas(run, out)
 
 
 def suffix_array(t: list[int] | str, ends: list[int]) -> list[int]:
@@ -206,7 +247,13 @@ def alike(ctxs: list[bytes], offs: list[int], length: int = LENGTH, gram: int =
     return list(parts.values())
 
 
-def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+def folded(ctxs: list[bytes], offs: list[int], wides: list[int]) -> list[list[int]]:
+    """Contexts with their core, which every string of them holds, as one symbol of its own; equal cores are one symbol."""
+    cores: dict[bytes, int] = {}
+    return [[*c[:o], cores.setdefault(c[o:o + w], 256 + len(cores)), *c[o + w:]] for c, o, w in zip(ctxs, offs, wides)]
+
+
+def shared_strings(ctxs: list[bytes] | list[list[int]], lows: list[int], highs: list[int], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """(context, offset, least doc_id) for each `length`-byte string of the contexts that some holder loses.
 
     A single context (an anchor seen only in copies of one passage) needs no suffix array: all its strings go to its least holder.
@@ -216,7 +263,7 @@ def shared_strings(ctxs: list[bytes], lows: list[int], highs: list[int], length:
         if lows[0] < highs[0]:
             yield from ((0, off, lows[0]) for off in range(len(ctxs[0]) - length + 1))
         return
-    symbol = [chr(b + k) for b in range(256)]
+    symbol = [chr(b + k) for b in range(1 + max(max(c, default=0) for c in ctxs))]
     parts: list[str] = []
     ends: list[int] = []
     owner: list[int] = []
@@ -258,64 +305,71 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
         # Only where one id has several texts their hash is needed; elsewhere it is 0, which takes no room in the shuffles of the anchors.
         several = stored(rows.groupBy("cid").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("cid", F.lit(True).alias("several")), "lyndon-several")
         rows = rows.join(several, "cid", "left").select("doc_id", "cid", F.when(F.col("several"), F.col("th")).otherwise(0).cast("long").alias("th"), "text")
-        # Anchors are narrow and cheap to find again, so they are computed twice instead of stored: once to find the shared
-        # ones, once to keep their places.
-        spread = anchor_rows(rows, length, gram).groupBy("m").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-        shared_m = stored(spread.select("m"), "lyndon-shared", **PACKED)
+        # Units are cheap to find again, so they are computed again instead of stored: first to find the shared cores, then, a part of the cores at a
+        # time, to keep those units.
+        spread = unit_rows(rows, length, gram, narrow=True).groupBy("k").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
+        shared = stored(spread.select("k"), "lyndon-shared", **PACKED)
         del spread
         _release(spark)
-        places = anchor_rows(rows, length, gram).join(shared_m, "m", "left_semi")
-        # Stored, so that the shuffled anchors are gone before texts and contexts take room.
-        per_doc = stored(places.groupBy("cid", "th").agg(F.collect_list(F.struct("m", "pos")).alias("at")), "lyndon-anchors", **PACKED)
-        _release(spark, shared_m)
-        texts = rows.groupBy("cid", "th").agg(F.first("text").alias("text")).join(per_doc, ["cid", "th"])
-        # Contexts are keyed by a 64-bit hash within their anchor from here on, so the bytes travel once.
-        wide = stored(contexts_of(texts, length, gram).withColumn("ch", F.xxhash64("ctx", "off")), "lyndon-contexts", **PACKED)
-        del places, texts
-        _release(spark, per_doc)
-        contexts = stored(wide.groupBy("m", "ch").agg(F.first("ctx").alias("ctx"), F.first("off").alias("off"), F.min("cid").alias("low"), F.max("cid").alias("high")), "lyndon-distinct", **PACKED)
-        found = stored(wide.select("m", "ch", "cid", "th", "start"), "lyndon-places", **PACKED)
-        _release(spark, wide)
-        sizes = contexts.groupBy("m").agg(F.count("*").alias("n_ctx"))
-        one = contexts.join(sizes.where("n_ctx = 1"), "m", "left_semi")
-        small = contexts.join(sizes.where(F.col("n_ctx").between(2, most_contexts)), "m", "left_semi")
-        large = contexts.join(sizes.where(F.col("n_ctx") > most_contexts), "m", "left_semi")
+        found = []
+        for part in range(PARTS):
+            places = unit_rows(rows, length, gram, part=part, parts=PARTS).join(shared.where(F.pmod("k", F.lit(PARTS)) == part), "k", "left_semi")
+            found.append(stored(places, "lyndon-places", **PACKED))
+            del places
+            _release(spark)
+        _release(spark, shared)
+        places = reduce(DataFrame.unionByName, found)
+        # Contexts are keyed by a 64-bit hash within their core: their bytes are read from one of their places, where bytes are needed.
+        contexts = stored(places.groupBy("k", "ch").agg(
+            F.min("cid").alias("low"), F.max("cid").alias("high"), *[F.first(name).alias(name) for name in ("cid", "th", "start", "n", "off", "wide")]), "lyndon-distinct", **PACKED)
+        _release(spark)
+        sizes = contexts.groupBy("k").agg(F.count("*").alias("n_ctx"))
+        sized = stored(contexts.join(sizes, "k"), "lyndon-sized", **PACKED)
+        del sizes
+        _release(spark, contexts)
         # Hits are ranges of string starts (lo..hi within the context) that holders above g lose.
         # One distinct context (copies of one passage): every string of it goes to its least holder, no suffix array needed.
-        by_one = one.where((F.col("low") < F.col("high")) & (F.length("ctx") >= length)).select(
-            "m", "ch", F.lit(0).alias("lo"), (F.length("ctx") - length).alias("hi"), F.col("low").alias("g"))
-        # Anchors with 2 to `most_contexts` contexts: one array per anchor, many anchors per Arrow batch.
-        grouped = small.groupBy("m").agg(F.collect_list(F.struct("ch", "ctx", "off", "low", "high")).alias("cs"))
+        by_one = sized.where((F.col("n_ctx") == 1) & (F.col("low") < F.col("high"))).select("k", "ch", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("low").alias("g"))
+        asked = sized.where("n_ctx > 1").groupBy("cid", "th").agg(F.collect_list(F.struct("k", "ch", "start", "n", "off", "wide", "low", "high", "n_ctx")).alias("asked"))
+        texts = rows.join(asked, ["cid", "th"]).groupBy("cid", "th").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+        several_ctx = stored(contexts_of(texts.select("text", "asked"), length), "lyndon-contexts", **PACKED)
+        del asked, texts
+        _release(spark)
+        small, large = several_ctx.where(F.col("n_ctx") <= most_contexts), several_ctx.where(F.col("n_ctx") > most_contexts)
+        # Cores with 2 to `most_contexts` contexts: one array per core, many cores per Arrow batch.
+        grouped = small.groupBy("k").agg(F.collect_list(F.struct("ch", "ctx", "off", "wide", "low", "high")).alias("cs"))
 
-        def per_anchor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def per_core(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out: list[tuple[int, int, int, int, int]] = []
-                for m, members in zip(f["m"], f["cs"]):
-                    ctxs = [bytes(x["ctx"]) for x in members]
+                for k, members in zip(f["k"], f["cs"]):
                     found_here = []
-                    for part in alike(ctxs, [x["off"] for x in members], length, gram):
-                        hits = shared_strings([ctxs[j] for j in part], [members[j]["low"] for j in part], [members[j]["high"] for j in part], length)
-                        found_here += [(part[c], o, g) for c, o, g in hits]
-                    for c, o, g in sorted(found_here):
-                        ch = members[c]["ch"]
-                        if out and out[-1][0] == m and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
-                            out[-1] = (m, ch, out[-1][2], o, g)
+                    for wide in {x["wide"] for x in members}:
+                        part = [x for x in members if x["wide"] == wide]
+                        ctxs = folded([bytes(x["ctx"]) for x in part], [x["off"] for x in part], [wide] * len(part))
+                        hits = shared_strings(ctxs, [x["low"] for x in part], [x["high"] for x in part], length - wide + 1)
+                        found_here += [(part[c]["ch"], o, g) for c, o, g in hits]
+                    for ch, o, g in sorted(found_here):
+                        if out and out[-1][0] == k and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
+                            out[-1] = (k, ch, out[-1][2], o, g)
                         else:
-                            out.append((m, ch, o, o, g))
-                yield pd.DataFrame(out, columns=["m", "ch", "lo", "hi", "g"]).astype({"m": "int32", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
+                            out.append((k, ch, o, o, g))
+                yield pd.DataFrame(out, columns=["k", "ch", "lo", "hi", "g"]).astype({"k": "int64", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
 
-        by_suffixes = grouped.mapInPandas(per_anchor, "m int, ch long, lo int, hi int, g long")
-        # Anchors with very many contexts: each string of each context, grouped by its bytes.
-        strings = large.select("m", "ch", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off")).where(F.length("ctx") >= length)
+        by_suffixes = grouped.mapInPandas(per_core, "k long, ch long, lo int, hi int, g long")
+        # Cores with very many contexts: each string of each context, grouped by its bytes.
+        strings = large.select("k", "ch", "ctx", "low", "high", F.explode(F.sequence(F.lit(0), F.length("ctx") - length)).alias("off"))
         strings = strings.withColumn("s", F.expr(f"substring(ctx, off + 1, {length})"))
-        least = strings.groupBy("m", "s").agg(F.min("low").alias("g"))
-        by_bytes = strings.join(least, ["m", "s"]).where("g < high").select("m", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
+        least = strings.groupBy("k", "s").agg(F.min("low").alias("g"))
+        by_bytes = strings.join(least, ["k", "s"]).where("g < high").select("k", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
         hits = stored(by_one.unionByName(by_suffixes).unionByName(by_bytes), "lyndon-hits", **PACKED)
-        del one, small, large, by_one, grouped, by_suffixes, strings, least, by_bytes, sizes
-        _release(spark, contexts)
-    lost = found.select("m", "ch", "cid", "th", "start").join(hits, ["m", "ch"]).where("cid > g").select(
-        "cid", "th", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).distinct()
-    per_lost = lost.groupBy("cid", "th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
+        del by_one, small, large, grouped, by_suffixes, strings, least, by_bytes
+        _release(spark, sized, several_ctx)
+        lost = places.select("k", "ch", "cid", "th", "start").join(hits, ["k", "ch"]).where("cid > g").select(
+            "cid", "th", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).alias("r"))
+        per_lost = stored(lost.groupBy("cid", "th").agg(F.collect_set("r").alias("starts")), "lyndon-lost", **PACKED)
+        del lost
+        _release(spark, hits, *found)
     return _summaries(rows.join(per_lost, ["cid", "th"], "left"), length)
 
 
