@@ -206,6 +206,70 @@ def test_dedup_query_equals_plain(spark):
     assert got == sorted(plain_dedup(rows), key=repr)
 
 
+def test_dedup_reads_bytes_of_few_contexts(spark, monkeypatch):
+    """Copies travel as hashes: bytes are stored only for contexts whose core has several, once each."""
+    r = random.Random(7)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage = words(200)
+    rows = [(i, words(5) + passage + words(5)) for i in range(60)]
+    counted, stored = {}, lyndon_dedup.stored
+
+    def counting(df, label, **options):
+        out = stored(df, label, **options)
+        counted[label] = counted.get(label, 0) + (out.count() if "ctx" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(lyndon_dedup, "stored", counting)
+    got = sorted((tuple(x) for x in lyndon_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(plain_dedup(rows), key=repr)
+    assert 0 < sum(counted.values()) < 60 * 10
+
+
+def test_units_cover_every_string_once():
+    """Each string start of each text is in one unit, equal strings have equal cores at equal places."""
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"abc ") for _ in range(r.choice([0, 10, 49, 50, 51, 120, 400]))) for _ in range(60)] + [b"a" * 300, b"ab" * 200, b""]
+    texts += [t[7:] for t in texts]
+    u = lyndon_dedup.units(texts)
+    seen, cores = [], {}
+    for doc, start, n, off, wide, k in zip(*(u[name].tolist() for name in ("doc", "start", "n", "off", "wide", "k"))):
+        for o in range(n):
+            seen.append((doc, start + o))
+            assert o <= off and off + wide <= o + 50
+            assert cores.setdefault(texts[doc][start + o:start + o + 50], (k, off - o, wide)) == (k, off - o, wide)
+    assert sorted(seen) == [(d, s) for d, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
+def test_lost_ranges_equal_plain():
+    """Contexts of one core, some edited and cut, against all their strings; a core that only shares its hash matches nothing."""
+    r = random.Random(9)
+    several = 0
+    for _ in range(300):
+        wide = r.choice([33, 34])
+        rest, core = 50 - wide, bytes(r.choice(b"abcdefgh") for _ in range(wide))
+        base = [bytes(r.choice(b"ab") for _ in range(rest)) for _ in "xy"]
+        made = set()
+        for _ in range(r.randint(2, 9)):
+            before, behind = (bytearray(x) for x in base)
+            for x in (before, behind):
+                if r.random() < 0.6:
+                    x[r.randrange(rest)] ^= 3
+            a = r.randint(0, rest)
+            made.add((bytes(before[rest - a:]) + (core if r.random() < 0.95 else core[::-1]) + bytes(behind[:r.randint(rest - a, rest)]), a))
+        ctxs, offs = [c for c, _ in made], [o for _, o in made]
+        lows = [r.randint(0, 6) for _ in ctxs]
+        highs = [x + r.choice([0, 0, 3]) for x in lows]
+        least = {}
+        for c, low in zip(ctxs, lows):
+            for o in range(len(c) - 49):
+                least[c[o:o + 50]] = min(low, least.get(c[o:o + 50], low))
+        expected = sorted((j, o, least[c[o:o + 50]]) for j, c in enumerate(ctxs) for o in range(len(c) - 49) if least[c[o:o + 50]] < highs[j])
+        got = sorted((j, o, g) for j, lo, hi, g in lyndon_dedup.lost_ranges(ctxs, offs, lows, highs, wide) for o in range(lo, hi + 1))
+        assert got == expected
+        several += len(expected)
+    assert several > 1000
+
+
 def test_variants_equal_plain(spark, planted):
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in permuterm.variants(planted).collect()}
     assert got == plain_variants(planted_rows())

@@ -4,26 +4,27 @@ A byte is removed if a `length`-byte string covering it also starts in a documen
 cross documents and are judged on the input.
 
 Spark finds where such strings can be. Every `length`-byte string holds `length - gram + 1` whole grams of `gram` bytes;
-the leftmost gram of least hash among them, its anchor, depends on the string alone. Each document emits every anchor with
-its context, the bytes from `length - gram` before it to `length` after its start, which holds every string anchored
-there. Anchors that only one doc_id has are dropped; equal contexts are merged with the least and greatest doc_id that
-hold them, combined before the shuffle, so a group of copies of any size is one context.
-
-Each anchor's distinct contexts are then one string with a unique separator after each. Its suffix array is built in two
+the leftmost gram of least hash among them, its anchor, depends on the string alone. The anchor with half of the other bytes before
+it, or with the rest behind it where fewer stand before, is the string's core and depends on the string alone, too. Strings that start side by side and have one core
+in one place are a unit. Only units travel, as hashes of their core and of their bytes (their context). Cores that only one doc_id has
+are dropped; equal contexts are merged with the least and greatest doc_id that hold them, combined before the shuffle, so a
+group of copies of any size is one context.
+
+A core with one distinct context (copies of one passage) needs no array: all its strings go to its least holder, in Spark functions.
+The bytes of other contexts are read once each. What such a context has beyond its farthest agreement with any other of its core is no one
+else's. The rests are merged where equal, and different ones are one string with a unique separator after each, in which the core is one symbol. Its suffix array is built in two
 steps without recursion: suffixes are grouped by their Lyndon prefix (up to the next smaller suffix, found with a stack
 of previous- and next-smaller pointers; a context bounds it), the groups are ordered by that prefix, and one left-to-right
 pass over the array puts each suffix's chain of previous-smaller suffixes at the front of their groups, which fixes the order
 inside every group. Adjacent suffixes that agree in `length` bytes within their context form the runs of one string; the
-least doc_id of a run decides which holders lose those bytes. Contexts of one anchor that agree in too few bytes around it to
-share a string get arrays of their own. An anchor with one distinct context (copies of one passage)
-needs no array: all its strings go to its least holder, in Spark functions. Anchors with up to `most_contexts` contexts are
-collected one array each and passed many to an Arrow batch; an anchor with more goes an exact way instead: its strings
+least doc_id of a run decides which holders lose those bytes. Cores with up to `most_contexts` contexts are
+collected one array each and passed many to an Arrow batch; a core with more goes an exact way instead: its strings
 are grouped by their bytes in Spark, with the same result.
 
 Edge cases: a null text is empty; texts shorter than `length` keep all bytes. A null doc_id is larger than every doc_id
 and never smaller than another null one, so such rows lose bytes to any document and take none. Rows with equal doc_id
 do not remove each other's bytes. An empty table gives an empty result; other columns are ignored. Rows are keyed by
-their doc_id, where it has several texts also by a 64-bit text hash, and contexts by a 64-bit hash within their anchor: two different texts or contexts that share
+their doc_id, where it has several texts also by a 64-bit text hash, and contexts by a 64-bit hash within their core's: two different texts or contexts that share
 both would be taken as one (odds about n^2 / 2^64).
 """
 
@@ -44,7 +45,7 @@ from voc_spark.sources.parquet import drop_folder, stored
 
 # Fixed value of the contract: the length of a removed string in bytes.
 LENGTH = 50
-#: Bytes of an anchor gram, and the distinct contexts of one anchor that go through one suffix array.
+#: Bytes of an anchor gram, and the distinct contexts of one core that go through one suffix array.
 GRAM, MOST_CONTEXTS = 16, 4096
 #: Grams of a document whose least ones are found at once (positions must fit in 16 bits).
 PIECE = 1 << 15
@@ -294,6 +295,66 @@ def shared_strings(ctxs: list[bytes] | list[list[int]], lows: list[int], highs:
         i = j
 
 
+def _most_agreed(parts: list[bytes]) -> list[int]:
+    """How many first bytes each part has in common with any other one; sorted, the closest is a neighbour."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    agreed = [0] * len(parts)
+    for a, b in zip(order, order[1:]):
+        x, y = parts[a], parts[b]
+        n = min(len(x), len(y))
+        differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+        n -= (differ.bit_length() + 7) // 8
+        agreed[a] = max(agreed[a], n)
+        agreed[b] = n
+    return agreed
+
+
+def lost_ranges(ctxs: list[bytes], offs: list[int], lows: list[int], highs: list[int], wide: int, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+    """(context, first offset, last offset, least doc_id) of strings that some holder loses, for the contexts of one core of `wide` bytes at `offs`.
+
+    A string holds the core, so contexts share it only if they agree around the core as far as it reaches. What a context has beyond its farthest agreement
+    with any other belongs to it alone; the rests are merged where equal, and different ones get one suffix array.
+    """
+    before = _most_agreed([c[o + wide - 1::-1] if o + wide else b"" for c, o in zip(ctxs, offs)])
+    behind = _most_agreed([c[o:] for c, o in zip(ctxs, offs)])
+    rests: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+    for j, (c, o) in enumerate(zip(ctxs, offs)):
+        last = len(c) - length
+        a = max(0, o + wide - before[j])
+        b = min(last, o + behind[j] - length)
+        if a > b or before[j] < wide or behind[j] < wide:
+            a, b = last + 1, last
+        else:
+            rests.setdefault((c[a:b + length], o - a), []).append((j, a))
+        if lows[j] < highs[j]:
+            if a > 0:
+                yield j, 0, a - 1, lows[j]
+            if b < last:
+                yield j, b + 1, last, lows[j]
+    held = list(rests.values())
+    low, high = [min(lows[j] for j, _ in m) for m in held], [max(highs[j] for j, _ in m) for m in held]
+    if len(rests) == 1:
+        (text, _), = rests
+        for j, a in held[0]:
+            if low[0] < highs[j]:
+                yield j, a, a + len(text) - length, low[0]
+        return
+    texts = folded([c for c, _ in rests], [o for _, o in rests], [wide] * len(rests))
+    open_: dict[int, tuple[int, int, int]] = {}
+    for c, o, g in sorted(shared_strings(texts, low, high, length - wide + 1)) if texts else ():
+        for j, a in held[c]:
+            if g >= highs[j]:
+                continue
+            if j in open_ and open_[j][1:] == (a + o - 1, g):
+                open_[j] = (open_[j][0], a + o, g)
+                continue
+            if j in open_:
+                yield j, *open_[j]
+            open_[j] = (a + o, a + o, g)
+    for j, found in open_.items():
+        yield j, *found
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of every row of docs.
 
@@ -343,17 +404,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
             for f in frames:
                 out: list[tuple[int, int, int, int, int]] = []
                 for k, members in zip(f["k"], f["cs"]):
-                    found_here = []
                     for wide in {x["wide"] for x in members}:
                         part = [x for x in members if x["wide"] == wide]
-                        ctxs = folded([bytes(x["ctx"]) for x in part], [x["off"] for x in part], [wide] * len(part))
-                        hits = shared_strings(ctxs, [x["low"] for x in part], [x["high"] for x in part], length - wide + 1)
-                        found_here += [(part[c]["ch"], o, g) for c, o, g in hits]
-                    for ch, o, g in sorted(found_here):
-                        if out and out[-1][0] == k and out[-1][1] == ch and out[-1][3] == o - 1 and out[-1][4] == g:
-                            out[-1] = (k, ch, out[-1][2], o, g)
-                        else:
-                            out.append((k, ch, o, o, g))
+                        ranges = lost_ranges([bytes(x["ctx"]) for x in part], [x["off"] for x in part], [x["low"] for x in part], [x["high"] for x in part], wide, length)
+                        out += [(k, part[j]["ch"], lo, hi, g) for j, lo, hi, g in ranges]
                 yield pd.DataFrame(out, columns=["k", "ch", "lo", "hi", "g"]).astype({"k": "int64", "ch": "int64", "lo": "int32", "hi": "int32", "g": "int64"})
 
         by_suffixes = grouped.mapInPandas(per_core, "k long, ch long, lo int, hi int, g long")
