@@ -30,7 +30,6 @@ both would be taken as one (odds about n^2 / 2^64).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
@@ -40,8 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voc_spark.llm.common import carry, lean, pick
-from voc_spark.sources.parquet import drop_folder, stored
+from voc_spark.llm.common import PACKED, carry, lean, pick, release
+from voc_spark.sources.parquet import stored
 
 # Fixed value of the contract: the length of a removed string in bytes.
 LENGTH = 50
@@ -52,8 +51,6 @@ PIECE = 1 << 15
 NO_ID = (1 << 63) - 1
 #: The places of shared cores are found in so many passes, each over one part of the cores: a pass shuffles that part only.
 PARTS = 2
-#: Stored tables hold overlapping contexts and rising ids, which pack well.
-PACKED = {"compression": "zstd"}
 _TOP = np.uint64(0xFFFFFFFFFFFF0000)
 
 carry(__name__)
@@ -371,23 +368,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
         spread = unit_rows(rows, length, gram, narrow=True).groupBy("k").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
         shared = stored(spread.select("k"), "lyndon-shared", **PACKED)
         del spread
-        _release(spark)
+        release(spark)
         found = []
         for part in range(PARTS):
             places = unit_rows(rows, length, gram, part=part, parts=PARTS).join(shared.where(F.pmod("k", F.lit(PARTS)) == part), "k", "left_semi")
             found.append(stored(places, "lyndon-places", **PACKED))
             del places
-            _release(spark)
-        _release(spark, shared)
+            release(spark)
+        release(spark, shared)
         places = reduce(DataFrame.unionByName, found)
         # Contexts are keyed by a 64-bit hash within their core: their bytes are read from one of their places, where bytes are needed.
         contexts = stored(places.groupBy("k", "ch").agg(
             F.min("cid").alias("low"), F.max("cid").alias("high"), *[F.first(name).alias(name) for name in ("cid", "th", "start", "n", "off", "wide")]), "lyndon-distinct", **PACKED)
-        _release(spark)
+        release(spark)
         sizes = contexts.groupBy("k").agg(F.count("*").alias("n_ctx"))
         sized = stored(contexts.join(sizes, "k"), "lyndon-sized", **PACKED)
         del sizes
-        _release(spark, contexts)
+        release(spark, contexts)
         # Hits are ranges of string starts (lo..hi within the context) that holders above g lose.
         # One distinct context (copies of one passage): every string of it goes to its least holder, no suffix array needed.
         by_one = sized.where((F.col("n_ctx") == 1) & (F.col("low") < F.col("high"))).select("k", "ch", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.col("low").alias("g"))
@@ -395,7 +392,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
         texts = rows.join(asked, ["cid", "th"]).groupBy("cid", "th").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
         several_ctx = stored(contexts_of(texts.select("text", "asked"), length), "lyndon-contexts", **PACKED)
         del asked, texts
-        _release(spark)
+        release(spark)
         small, large = several_ctx.where(F.col("n_ctx") <= most_contexts), several_ctx.where(F.col("n_ctx") > most_contexts)
         # Cores with 2 to `most_contexts` contexts: one array per core, many cores per Arrow batch.
         grouped = small.groupBy("k").agg(F.collect_list(F.struct("ch", "ctx", "off", "wide", "low", "high")).alias("cs"))
@@ -418,23 +415,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts
         by_bytes = strings.join(least, ["k", "s"]).where("g < high").select("k", "ch", F.col("off").cast("int").alias("lo"), F.col("off").cast("int").alias("hi"), "g")
         hits = stored(by_one.unionByName(by_suffixes).unionByName(by_bytes), "lyndon-hits", **PACKED)
         del by_one, small, large, grouped, by_suffixes, strings, least, by_bytes
-        _release(spark, sized, several_ctx)
+        release(spark, sized, several_ctx)
         lost = places.select("k", "ch", "cid", "th", "start").join(hits, ["k", "ch"]).where("cid > g").select(
             "cid", "th", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi")).alias("b")).alias("r"))
         per_lost = stored(lost.groupBy("cid", "th").agg(F.collect_set("r").alias("starts")), "lyndon-lost", **PACKED)
         del lost
-        _release(spark, hits, *found)
+        release(spark, hits, *found)
     return _summaries(rows.join(per_lost, ["cid", "th"], "left"), length)
 
 
-def _release(spark, *tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark's cleaner drop the shuffle files of finished steps."""
-    for path in (p for t in tables for p in t.inputFiles()[:1]):
-        drop_folder(spark, path.rsplit("/", 1)[0])
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed_mask(n: int, ranges: list | None, length: int = LENGTH) -> np.ndarray:
     """Bytes covered by a `length`-byte string starting anywhere in one of the (a, b) ranges of starts, both ends included."""
     mask = np.zeros(n + 1, np.int32)
