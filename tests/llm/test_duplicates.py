@@ -1,5 +1,6 @@
 """SimHash groups, repeated passages, benchmark leaks and the pipeline against brute force."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -359,3 +360,20 @@ def test_pipeline_on_odd_documents(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, FOLDER), "stage")
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "4", "5", "6", "7", "None"]
+
+
+def test_passages_delete_tables_nothing_reads(spark, monkeypatch):
+    """Windows and near links are gone when the result is returned, which reads as before."""
+    made, stored = {}, cw.stored
+
+    def noting(df, label, **options):
+        out = stored(df, label, **options)
+        made.setdefault(label, []).append(out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/"))
+        return out
+
+    monkeypatch.setattr(cw, "stored", noting)
+    text = " ".join(f"w{i}" for i in range(80))
+    got = cw.passages(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert [(r.doc_a, r.a_from, r.a_to, r.doc_b, r.b_from, r.b_to, r.similarity) for r in got] == [(1, 0, 80, 2, 0, 80, 1.0)]
+    for label in ("compact-windows", "compact-links-near"):
+        assert made[label] and not any(os.path.exists(path) for path in made[label])
