@@ -377,3 +377,68 @@ def test_passages_delete_tables_nothing_reads(spark, monkeypatch):
     assert [(r.doc_a, r.a_from, r.a_to, r.doc_b, r.b_from, r.b_to, r.similarity) for r in got] == [(1, 0, 80, 2, 0, 80, 1.0)]
     for label in ("compact-windows", "compact-links-near"):
         assert made[label] and not any(os.path.exists(path) for path in made[label])
+
+
+def test_no_text_of_a_region_is_stored_or_shuffled(spark, monkeypatch):
+    """40 documents share 34 words, too few for a passage: their regions are stored without text, and none gets as far as its shingles."""
+    sent, stored = {}, cw.stored
+
+    def noting(df, label, **options):
+        out = stored(df, label, **options)
+        sent.setdefault(label, []).append([bytes(r.sent or b"") for r in out.select("sent").collect()] if "sent" in out.columns else out.columns)
+        return out
+
+    monkeypatch.setattr(cw, "stored", noting)
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    short = words(34)  # too short for a passage, but candidates
+    texts = [" ".join(words(20) + short + words(20)) for _ in range(40)]
+    assert cw.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
+    assert any(sent["compact-regions"]) and all(not x for rows in sent["compact-regions"] for x in rows)
+    assert not any(sent["compact-hopeful"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hopeful_regions_keep_every_passage(seed):
+    """Random edits, runs of one word and loops: where `verify` finds a passage the marks let the region pass."""
+    r, kept, all_ = random.Random(seed), 0, 0
+    for _ in range(300):
+        loop = [f"l{k}" for k in range(r.randint(2, 12))]
+        a = [w for _ in range(r.randint(1, 5)) for w in ([f"r{r.randrange(6)}"] * r.randint(5, 40) if r.random() < 0.4 else loop * 4 if r.random() < 0.2 else [f"w{k}" for k in range(r.randint(0, 40), 70)])]
+        rate = r.choice((0.005, 0.02, 0.04, 0.3))
+        b = [w if r.random() > rate else f"x{k}" for k, w in enumerate(a)]
+        b = b[r.randint(0, 20):] + [f"y{k}" for k in range(r.randint(0, 30))]
+        ga, gb = (cw.tokens(np.fromiter(map(hash, w), np.int64, len(w)).view(np.uint64)) for w in (a, b))
+        pass_ = cw.hopeful(np.unique(ga.astype(np.uint16)), gb)
+        assert pass_ or not cw.verify(a, b)
+        kept, all_ = kept + pass_, all_ + 1
+    assert 0 < kept < all_
+
+
+def test_repeated_ids_and_busy_documents(spark, monkeypatch):
+    """One document in more regions than are read beside one copy of its text, and an id with two texts, of which the least piece counts."""
+    monkeypatch.setattr(cw, "ASKED", 5)
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(d, " ".join(words(10) + passage + words(10))) for d in range(40)]
+    got = cw.passages(spark.createDataFrame(rows + rows[:7], "doc_id long, text string")).collect()
+    assert len(set(roots(40, [(x.doc_a, x.doc_b) for x in got]))) == 1 and all(x.a_from == x.b_from >= 10 and x.a_to == x.b_to <= 70 for x in got)
+    doc, known = cw.Text(), dc.Codes()
+    doc.texts = ["b " * 60, "a " * 60]
+    assert np.array_equal(doc.piece(0, 50, known), doc.pieces(0, 50, known)[1])
+
+
+def test_second_round_in_passes(spark, monkeypatch):
+    """Links between classes are made a share of the documents at a time, with the same result."""
+    r = random.Random(580)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common = words(46)
+    texts = [" ".join(words(5) + common + words(5)) for _ in range(40)]
+    docs, made, regions = spark.createDataFrame([(d, texts[d % 40]) for d in range(80)], "doc_id long, text string"), [], cw.regions
+    monkeypatch.setattr(cw, "PER_PASS", 4)
+    monkeypatch.setattr(cw, "regions", lambda found, *more: made.append({x.a for x in found.select("a").distinct().collect()}) or regions(found, *more))
+    got = cw.passages(docs).collect()
+    assert sorted((x.doc_a, x.doc_b) for x in got) == [(d, d + 40) for d in range(40)]
+    second = made[1:]
+    assert len(second) > 3 and sum(map(len, second)) == len(set().union(*second)) > 40
