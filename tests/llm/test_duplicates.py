@@ -326,6 +326,29 @@ def test_odd_documents_and_items(spark, odd_docs, no_docs):
     assert sum(len(p) for p in dc.passes(many, 7)) == 30 and len(list(dc.passes(many, 7))) == 5
 
 
+def test_search_compares_sets_and_skips_scattered_triples(monkeypatch):
+    """Windows are compared with items by sets of words, repeats counted exactly, and a document that holds triples of items only far apart is not searched."""
+    item = "the cat saw the dog and the cat saw the bird and then the cat went home again".split()
+    index = dc.Index([(1, " ".join(item))])
+    looked, verify = [], index._verify
+    monkeypatch.setattr(index, "_verify", lambda *args: looked.append(len(args[1])) or verify(*args))
+    far = [f"x{k}" for k in range(40)]
+    assert index.search([" ".join(w for k in range(0, 18, 3) for w in item[k:k + 3] + far), None, ""]) == [[], [], []] and not sum(looked)
+    monkeypatch.setattr(dc, "Counter", None)  # the words of windows were counted for every item they share a signature with
+    monkeypatch.setattr(index, "_verify", lambda codes, starts, n, owner, best: None)
+    assert index.search([" ".join(item)]) == [[]]
+    monkeypatch.undo()
+    edited = [w if k not in (4, 11) else "new" for k, w in enumerate(item)]
+    assert index.search([" ".join(far + edited + far)])[0][0][::3] == (1, 2)
+
+
+@pytest.mark.parametrize("word", ["The,", "--", "Ünïcode!", "«ÉA»", "x\x1fy", "a\u00a0b", "ΑΣ", "\ud800z", "…", "'tis"])
+def test_codes_of_bytes(word):
+    assert dc.byte_code(word.encode("utf-8", "surrogatepass")) == dc.word_code(word)
+    text = f"{word} \t{word}\x0b{word}\x0c \r\n{word}\x1c\x85\u2003q"
+    assert [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()] == dc.WORDS.findall(text)
+
+
 # --- pipeline ---------------------------------------------------------------
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
