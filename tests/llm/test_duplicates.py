@@ -465,3 +465,39 @@ def test_second_round_in_passes(spark, monkeypatch):
     assert sorted((x.doc_a, x.doc_b) for x in got) == [(d, d + 40) for d in range(40)]
     second = made[1:]
     assert len(second) > 3 and sum(map(len, second)) == len(set().union(*second)) > 40
+
+
+def test_passages_inside_places_that_other_text_connects(spark):
+    """Documents 2g and 2g + 1 are copies; all end in one passage, so all are connected there. Those of g and g + 20 begin with the same piece, in which all
+    share 46 words: their windows stand far apart in the runs, and what connects the documents' ends says nothing about the piece."""
+    r, rows = random.Random(580), []
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common, end = words(46), words(100)
+    pieces = [words(5) + common + words(5) for _ in range(20)]
+    for g in range(40):
+        text = " ".join(pieces[g % 20] + words(30) + end)
+        rows += [(2 * g, text), (2 * g + 1, text)]
+    got = cw.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(min(x.a_to - x.a_from, x.b_to - x.b_from) >= 50 and x.similarity >= 0.8 for x in got)
+    begun = {(x.doc_a // 2, x.doc_b // 2) for x in got if x.a_to <= 86 and x.b_to <= 86}
+    assert begun == {(g, g + 20) for g in range(20)}
+
+
+def test_a_repeat_inside_one_passage_is_no_place_of_the_other(spark):
+    """Each link of two places that a passage holds connects them only if it is shifted like the passage; long passages connect in every block."""
+    found = spark.createDataFrame(
+        [(1, 2, 0, 10, 80, 10, 80, 40), (1, 2, 1, 10, 80, 90, 160, 40), (1, 2, 0, 500, 560, 500, 560, 530), (1, 3, 0, 10, 80, 10, 80, 40)],
+        "a long, b long, k int, b_from int, b_to int, a_from int, a_to int, c int")
+    checked = spark.createDataFrame([(1, 0, 600, 2, 0, 600, 1.0)], cw.FOUND)
+    assert sorted((x.u.c, x.v.c) for x in cw.same_places(found, checked).collect()) == [(40, 40), (530, 530)]
+
+
+def test_second_round_keeps_one_link_between_two_classes(spark):
+    """Of two passages between the same classes the least stays, as does one between others; those inside a class or between classes that the first round
+    connects go, one without shared shingles stays."""
+    rows = spark.createDataFrame(
+        [(0, 7, d, 0, 20, 60, root, 20) for d, root in ((1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7))], "k int, value long, doc_id long, l int, c int, r int, root long, place int")
+    found = [(1, 0, 60, 3, 0, 60, 1.0), (2, 0, 60, 4, 0, 60, 1.0), (1, 0, 60, 2, 0, 60, 1.0), (3, 0, 60, 5, 0, 60, 1.0), (1, 100, 160, 9, 0, 60, 1.0), (6, 0, 60, 7, 0, 60, 1.0)]
+    first = spark.createDataFrame([(6, 5, 70, 7, 5, 70, 1.0), (6, 25, 90, 7, 25, 90, 1.0)], cw.FOUND)
+    got = cw.one_each(spark.createDataFrame(found + found[:1], cw.FOUND), first, rows).collect()
+    assert sorted((x.doc_a, x.doc_b) for x in got) == [(1, 3), (1, 9), (3, 5)]
