@@ -501,3 +501,10 @@ def test_second_round_keeps_one_link_between_two_classes(spark):
     first = spark.createDataFrame([(6, 5, 70, 7, 5, 70, 1.0), (6, 25, 90, 7, 25, 90, 1.0)], cw.FOUND)
     got = cw.one_each(spark.createDataFrame(found + found[:1], cw.FOUND), first, rows).collect()
     assert sorted((x.doc_a, x.doc_b) for x in got) == [(1, 3), (1, 9), (3, 5)]
+
+
+def test_repeated_text_is_followed_at_the_shift_of_its_region():
+    """Words 8 to 170 repeat every 32; the pieces are 96 apart, but the first shingle of b stands 32 words into a."""
+    text = [f"x{k}" for k in range(8)] + [f"w{k % 32}" for k in range(8, 170)]
+    got = cw.verify(text[:74], text[96:170], ahead=96)
+    assert [r[:4] for r in got] == [(8, 74, 8, 74)] and got[0][4] == 1.0
