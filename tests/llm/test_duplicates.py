@@ -494,13 +494,13 @@ def test_a_repeat_inside_one_passage_is_no_place_of_the_other(spark):
 
 def test_second_round_keeps_one_link_between_two_classes(spark):
     """Of two passages between the same classes the least stays, as does one between others; those inside a class or between classes that the first round
-    connects go, one without shared shingles stays."""
+    connects go, one without shared shingles and one whose range no other holds whole stay."""
     rows = spark.createDataFrame(
         [(0, 7, d, 0, 20, 60, root, 20) for d, root in ((1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7))], "k int, value long, doc_id long, l int, c int, r int, root long, place int")
-    found = [(1, 0, 60, 3, 0, 60, 1.0), (2, 0, 60, 4, 0, 60, 1.0), (1, 0, 60, 2, 0, 60, 1.0), (3, 0, 60, 5, 0, 60, 1.0), (1, 100, 160, 9, 0, 60, 1.0), (6, 0, 60, 7, 0, 60, 1.0)]
-    first = spark.createDataFrame([(6, 5, 70, 7, 5, 70, 1.0), (6, 25, 90, 7, 25, 90, 1.0)], cw.FOUND)
+    found = [(1, 0, 60, 3, 0, 60, 1.0), (2, 0, 60, 4, 0, 60, 1.0), (1, 0, 60, 2, 0, 60, 1.0), (3, 0, 60, 5, 0, 60, 1.0), (1, 100, 160, 9, 0, 60, 1.0), (6, 0, 60, 7, 0, 60, 1.0), (2, 10, 90, 4, 10, 90, 1.0)]
+    first = spark.createDataFrame([(1, 0, 60, 2, 0, 60, 1.0), (3, 0, 60, 4, 0, 60, 1.0), (6, 0, 70, 7, 0, 70, 1.0)], cw.FOUND)
     got = cw.one_each(spark.createDataFrame(found + found[:1], cw.FOUND), first, rows).collect()
-    assert sorted((x.doc_a, x.doc_b) for x in got) == [(1, 3), (1, 9), (3, 5)]
+    assert sorted((x.doc_a, x.a_from, x.doc_b) for x in got) == [(1, 0, 3), (1, 100, 9), (2, 10, 4), (3, 0, 5)]
 
 
 def test_repeated_text_is_followed_at_the_shift_of_its_region():
